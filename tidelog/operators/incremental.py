@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,12 @@ from tidelog.operators.skew import broadcast_if_small
 from tidelog.sources.shared import Manifests
 
 
+def key_text(value: Column | str, most: int = 32) -> Column:
+    """A text as part of a key: itself up to ``most`` bytes, of longer ones the SHA-256; null stays null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(F.octet_length(value) > most, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+
+
 class Target:
     """A table whose rows carry the key and version of the source row they come from.
 

@@ -84,7 +84,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "export_meta")
     feeds = F.broadcast(meta.select("feed").distinct())  # one row per feed of the configuration
     source = table(spark, d, "history").where(F.col("kind") == "patient").join(feeds, F.col("property") == F.col("feed"))
-    source = source.select("feed", "record_id", "sim_time", "value", "known_sim_time", "row_seq")
+    source = source.select("feed", "record_id", "sim_time", incremental.key_text("value").alias("value"), "known_sim_time", "row_seq")
     keys = ["feed", "record_id", "sim_time", "value"]
     target = incremental.Target(spark, fresh_folder(spark, "export-target"), source.select(*keys, "row_seq").schema, keys, "row_seq")
     target.publish(incremental.exported(source, table(spark, d, "export_windows"), meta, CELL))
