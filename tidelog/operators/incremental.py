@@ -43,9 +43,21 @@ class Target:
         Both sides are reduced to their distinct keys with partial aggregation
         before the join, so rows delivered again and again don't pile up.
         """
-        have = self.read().select(*(F.col(k).alias(f"_t_{k}") for k in self.keys)).distinct()
-        each = source.groupBy(*self.keys).agg(F.min(self.version).alias(self.version))
-        return each.join(have, [each[k].eqNullSafe(have[f"_t_{k}"]) for k in self.keys], "left_anti").select(*self.schema.names)
+        spread = [*self.keys, "_nulls"]
+        have = self._plain_keys(self.read()).select(*(F.col(k).alias(f"_t_{k}") for k in spread)).distinct()
+        each = self._plain_keys(source).groupBy(*spread).agg(F.min(self.version).alias(self.version))
+        lacking = each.join(have, [each[k] == have[f"_t_{k}"] for k in spread], "left_anti")
+        kinds = dict(lacking.dtypes)
+        null = lambda i, k: F.when(F.shiftright("_nulls", i).bitwiseAND(1) == 0, F.col(k)).cast(kinds[k]).alias(k)
+        return lacking.select(*(null(i, k) for i, k in enumerate(self.keys)), self.version).select(*self.schema.names)
+
+    def _plain_keys(self, rows: DataFrame) -> DataFrame:
+        """rows with nulls in keys as a fixed value and a bit in _nulls, so that grouping and join need one and the same shuffle."""
+        nulls = F.lit(0)
+        for i, k in enumerate(self.keys):
+            nulls = nulls.bitwiseOR(F.col(k).isNull().cast("int") * (1 << i))
+        fixed = {k: F.coalesce(F.col(k), F.lit("" if t == "string" else 0).cast(t)) for k, t in rows.dtypes if k in self.keys}
+        return rows.withColumn("_nulls", nulls).withColumns(fixed)
 
     def publish(self, rows: DataFrame) -> DataFrame:
         """Add rows as one new version; returns them as read from it."""
