@@ -452,7 +452,7 @@ class Runner:
                 time = {"membership": "joined_sim_time", "records": "last_mutation_sim_time"}.get(table.category, "sim_time")
                 begin = kernels.as_of(units.select(ROW, "_k", F.col(time).alias("_t")), "_t", order.select("_k", "created_sim_time", "_at"), "created_sim_time", ["_k"], ["_at"])
                 units = units.join(begin.select(ROW, F.col("_at").alias("_after")), ROW).withColumn("_lo", F.coalesce(F.col("_after") + 1, "_lo")).drop("_after")
-            units = units.where("_lo <= _hi").withColumn("_pick", F.col("_lo") + F.pmod(self.hash(ROW, F.lit(column)), F.col("_hi") - F.col("_lo") + 1))
+            units = units.where("_lo <= _hi").withColumn("_pick", F.col("_lo") + F.pmod(self.hash(ROW, F.lit(column)), F.greatest(F.lit(1), F.col("_hi") - F.col("_lo") + 1)))
             named = order.select(F.col("_at").alias("_pick"), F.col("record_id").alias("_new"), F.col("record_index").alias("_new_index"))
             first = units.join(named, "_pick")
             same = first.where("_new = _old").drop("_new", "_new_index")
@@ -471,7 +471,7 @@ class Runner:
         history = self.state.frames["history"]
         long_ = self.series().groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(ROW).alias(ROW)).where("_n >= 2")
         drawn = self.draw(long_.select(ROW, *key, "_n"), self.series(), key).select(*key, "_n")
-        keep = F.lit(1) if self.op.cut == "after_first" else (F.pmod(self.hash(*key), F.col("_n") - 1) + 1)
+        keep = F.lit(1) if self.op.cut == "after_first" else (F.pmod(self.hash(*key), F.greatest(F.lit(1), F.col("_n") - 1)) + 1)
         place = F.row_number().over(Window.partitionBy(*key).orderBy("sim_time", ROW))
         tail = written(history.join(drawn, key).withColumn("_place", place).where(F.col("_place") > keep).drop("_n", "_place"), "tail")
         self.report("history", tail, "frozen_series_event")
