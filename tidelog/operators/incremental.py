@@ -76,11 +76,11 @@ def exported(rows: DataFrame, windows: DataFrame, meta: DataFrame, cell: int) ->
     only the windows of their own cell, in an equi-join; the semi-join never
     multiplies rows. The windows are broadcast only if they are few.
     """
-    good = windows.where(F.col("committed_at").isNotNull() & (F.col("start_ns") < F.col("end_ns"))).join(F.broadcast(meta.select("feed", "fingerprint").distinct()), ["feed", "fingerprint"])
+    good = windows.where("committed_at is not null and start_ns < end_ns").join(F.broadcast(meta.select("feed", "fingerprint").distinct()), ["feed", "fingerprint"])
     good = good.groupBy("feed", "start_ns", "end_ns").agg(F.max("read_ns").alias("read_ns"))
     cells = F.sequence(floor_div("start_ns", cell), floor_div(F.col("end_ns") - 1, cell))
-    good = good.select(F.col("feed").alias("_feed"), "start_ns", "end_ns", "read_ns", F.explode(cells).alias("_wcell"))
-    good = broadcast_if_small(good)
-    inside = (F.col("sim_time") >= F.col("start_ns")) & (F.col("sim_time") < F.col("end_ns")) & (F.col("known_sim_time") <= F.col("read_ns"))
-    rows = rows.withColumn("_cell", floor_div("sim_time", cell))
-    return rows.join(good, (rows["feed"] == good["_feed"]) & (rows["_cell"] == good["_wcell"]) & inside, "left_semi").drop("_cell")
+    named = {"feed": "__w_feed", "start_ns": "__w_start", "end_ns": "__w_end", "read_ns": "__w_read"}
+    good = broadcast_if_small(good.withColumn("__w_cell", F.explode(cells)).withColumnsRenamed(named))
+    time, known = rows["sim_time"], rows["known_sim_time"]
+    inside = (time >= F.col("__w_start")) & (time < F.col("__w_end")) & (known <= F.col("__w_read"))
+    return rows.join(good, (rows["feed"] == F.col("__w_feed")) & (floor_div(time, cell) == F.col("__w_cell")) & inside, "left_semi")

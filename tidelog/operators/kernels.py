@@ -82,26 +82,38 @@ def dense_sequence(rows: DataFrame, order: Sequence[str], name: str, start: int
     return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + start).drop("__part", "__before", "__at")
 
 
-def containing(probes: DataFrame, time: str, intervals: DataFrame, on: Sequence[str], start: str, end: str, pick: Sequence[str], cell: int) -> DataFrame:
+def containing(probes: DataFrame, time: str, intervals: DataFrame, on: Sequence[str], start: str, end: str, pick: Sequence[str], cell: int, min_rows: int = 1_000) -> DataFrame:
     """Each probe with the interval of its key that contains its time, [start, end), null end open: the latest start, then the smallest pick.
 
-    Closed intervals are cut into cells of ``cell`` so the join is an
-    equi-join on key and cell; open ones (and those over 64 cells) meet their
-    key's probes directly through their last start, as an as-of join would. A
-    probe without one has nulls.
+    Keys with few intervals are joined by key alone. The intervals of keys
+    with more than min_rows are cut into cells of ``cell``, so their probes
+    meet only those of one cell; intervals over more than 64 cells and open
+    ones meet all probes of their key. A probe without an interval, without
+    time or with a null key has nulls; equal probes are kept apart.
     """
-    numbered = probes.withColumn("_id", F.xxhash64(*probes.columns, F.lit(7))).withColumn("_cell", F.expr(f"`{time}` - pmod(`{time}`, {cell})"))
-    spans = intervals.select(*on, F.col(start).alias("_s"), F.coalesce(end, F.lit(2**63 - 1)).alias("_e"), F.struct(*pick).alias("_pick")).where("_e > _s")
-    short = spans.where(f"_e - pmod(_e, {cell}) - (_s - pmod(_s, {cell})) <= {64 * cell} and _e < {2**63 - 1}")
-    cells = F.sequence(F.expr(f"_s - pmod(_s, {cell})"), F.expr(f"(_e - 1) - pmod(_e - 1, {cell})"), F.lit(cell))
-    cut = short.withColumn("_cell", F.explode(cells))
-    long_ = spans.where(f"not (_e - pmod(_e, {cell}) - (_s - pmod(_s, {cell})) <= {64 * cell} and _e < {2**63 - 1})")
-    inside = (F.col("_s") <= F.col(time)) & (F.col(time) < F.col("_e"))
-    found = numbered.join(cut, [*on, "_cell"]).where(inside).select("_id", "_s", "_pick")
-    found = found.unionByName(numbered.drop("_cell").join(long_, list(on)).where(inside).select("_id", "_s", "_pick"))
-    best = found.groupBy("_id").agg(F.max("_s").alias("_s0"), F.max_by("_pick", "_s").alias("_any"))
-    tied = found.join(best.select("_id", "_s0"), "_id").where("_s = _s0").groupBy("_id").agg(F.min("_pick").alias("_pick"))
-    return numbered.drop("_cell").join(tied, "_id", "left").select(*probes.columns, *(F.col(f"_pick.{p}").alias(p) for p in pick))
+    last = 2**63 - 1
+    numbered = probes.withColumn("__id", F.monotonically_increasing_id())
+    numbered = written(numbered, "probes")  # so that an id means the same row in every branch
+    spans = intervals.select(*on, F.col(start).alias("__s"), F.coalesce(end, F.lit(last)).alias("__e"), F.struct(*pick).alias("__pick")).where("__e > __s")
+    (hot,) = skew.hot_groups(spans, on, min_rows=min_rows)
+    inside = (F.col("__s") <= F.col(time)) & (F.col(time) < F.col("__e"))
+    known = numbered.select("__id", *on, time)
+    found = known.join(spans.where(~skew.is_hot(on, hot)), list(on)).where(inside).select("__id", "__s", "__pick")
+    if hot:
+        floor = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(cell))
+        busy = spans.where(skew.is_hot(on, hot))
+        short = (F.col("__e") < last) & (floor("__e") - floor("__s") <= 64 * cell)
+        cut = busy.where(short).withColumn("__upto", F.col("__e") - 1)
+        cut = cut.withColumn("__cell", F.explode(F.sequence(floor("__s"), floor("__upto"), F.lit(cell))))
+        probing = known.where(skew.is_hot(on, hot))
+        here = probing.withColumn("__cell", floor(time)).join(cut, [*on, "__cell"]).where(inside)
+        there = probing.join(busy.where(~short), list(on)).where(inside)
+        for part in (here, there):
+            found = found.unionByName(part.select("__id", "__s", "__pick"))
+    # max of the start, then min of the pick, in one aggregation over structs ordered by the start alone
+    starts = found.groupBy("__id", "__s").agg(F.min("__pick").alias("__pick"))
+    best = starts.groupBy("__id").agg(F.max_by("__pick", "__s").alias("__pick"))
+    return numbered.join(best, "__id", "left").select(*probes.columns, *(F.col(f"__pick.{p}").alias(p) for p in pick))
 
 
 def smallest(units: DataFrame, order: str, k: int, ties: Sequence[str] = (), fine: int = 50_000) -> DataFrame:

@@ -26,7 +26,7 @@ def orphans(refs: DataFrame, parents: DataFrame, min_rows: int = skew.MIN_ROWS)
     remains is joined back to the references; keys with very many of them are
     salted.
     """
-    refs = refs.where(F.col("ref_kind").isNotNull() & F.col("ref_id").isNotNull())
+    refs = refs.select("src", "ref_field", "row_key", "ref_kind", "ref_id", "ref_time").where("ref_kind is not null and ref_id is not null")
     born = F.min(F.coalesce("created_at", F.lit(-(2**63)))).alias("_born")
     gone = F.max(F.coalesce("ended_at", F.lit(2**63 - 1))).alias("_gone")
     lives = parents.groupBy(F.col("kind").alias("ref_kind"), F.col("record_id").alias("ref_id")).agg(born, gone)
