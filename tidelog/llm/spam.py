@@ -83,7 +83,7 @@ def stuffed(documents: DataFrame, host: str, share: float = 0.5, min_rows: int =
     List density is evidence for each word: links and tags, words between
     them, and words in a stretch that repeats the same few words (words.py).
     The phrases of five words of all documents are exploded and their distinct
-    hosts counted. Of phrases replicated on at least HOSTS hosts, those that
+    hosts counted; each host has one vote on how list-like a phrase is. Of phrases replicated on at least HOSTS hosts, those that
     stand mostly in lists make their words list words wherever they occur, and
     those that stand mostly in sentences clear theirs, so a review that says
     the same sentence again and again is no list, and a list of well-known
@@ -100,7 +100,7 @@ def stuffed(documents: DataFrame, host: str, share: float = 0.5, min_rows: int =
     said = said.select(*key, "_host", "at", F.col("p.phrases").alias("phrase"), F.col("p.dense").alias("dense")).where("phrase != 0")
 
     per_host = said.groupBy("phrase", "_host").agg(F.count(F.lit(1)).alias("n"), F.sum("dense").alias("dense"))
-    spread = per_host.groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts"), (F.sum("dense") / F.sum("n") / PHRASE).alias("listed")).where(F.col("hosts") >= HOSTS)
+    spread = per_host.groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts"), (F.avg(F.col("dense") / F.col("n")) / PHRASE).alias("listed")).where(F.col("hosts") >= HOSTS)
     telling = written(spread.where((F.col("listed") >= LISTED) | (F.col("listed") <= SPOKEN)).select("phrase", (F.col("listed") >= LISTED).alias("list")), "phrases")
     # only what can change a word's standing has to meet the telling phrases
     open_ = said.select(*key, "at", "phrase", "dense")

@@ -42,7 +42,7 @@ def words(text: str) -> tuple[list[str], np.ndarray]:
         if kind is None:
             continue
         w = m.group().lower()
-        found.append(w[:-1] if kind == "word" and len(w) > 3 and w.endswith("s") else w)
+        found.append(w[:-1] if kind == "word" and len(w) > 3 and w.endswith("s") and w.isalpha() else w)
         kinds.append(PLAIN if kind == "word" else LINK if kind == "link" else TAG)
     return found, np.array(kinds, np.int8)
 
