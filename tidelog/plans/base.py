@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.operators import temporal
-from tidelog.plans.common import RESERVED, Anchor, Notice, Planned, Sink, Window
+from tidelog.plans.common import RESERVED_COLUMNS, Anchor, Notice, Planned, Sink, Window, reserved
 from tidelog.plans.config import Export
 from tidelog.plans.election import claim, elect, guard, translate
 from tidelog.sources.bundle import Bundle, BundleError
@@ -33,7 +33,7 @@ def plan(bundle: Bundle, export: Export, anchor: Anchor | None = None, window: W
         table = side.records(kind)
         rename = renames.get(table.name)
         name = rename.name if rename and rename.name else kind
-        if name in taken or name in RESERVED:
+        if name in taken or reserved(name):
             raise BundleError("naming", f"the table name {name} is taken or reserved")
         taken.add(name)
         shown, columns = [], {}
@@ -71,8 +71,8 @@ def plan(bundle: Bundle, export: Export, anchor: Anchor | None = None, window: W
         order = [f"{kind}_key", "id", *(["presentation_id"] if "presentation_id" in columns else []), "created_sim_time", "active", "deactivated_at", *(c for c in columns if c.startswith("prop__") or (c.endswith("_key") and c != f"{kind}_key"))]
         columns["active"] = F.col("active")
         final = {n: (rename.columns.get("record_id" if n == "id" else n, n) if rename else n) for n in order}
-        if len(set(final.values())) < len(final):
-            raise BundleError("naming", f"{name}: two columns of one name")
+        if len(set(final.values())) < len(final) or set(final.values()) & {*RESERVED_COLUMNS, "last_mutation_sim_time"}:
+            raise BundleError("naming", f"{name}: two columns of one name, or a reserved one")
         primary = [final["id"]] if config.declare_keys else []
         unique = [[final["presentation_id"]]] if config.declare_keys and "presentation_id" in final and claim(side, kind, None) else []
         out.append(Planned(name, rows.select(*(columns[n].alias(final[n]) for n in order)), "replace", primary, unique))

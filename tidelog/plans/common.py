@@ -16,7 +16,13 @@ from tidelog.operators.temporal import anchored
 from tidelog.plans.config import Export, Rebase
 from tidelog.sources.bundle import BundleError, Sidecar
 
+#: Names that the bookkeeping of windows needs.
 RESERVED = ("_export_meta", "_export_windows")
+RESERVED_COLUMNS = ("__valid_from_ns",)
+
+
+def reserved(name: str) -> bool:
+    return name in RESERVED or name.endswith("__rows")
 
 
 @dataclass
@@ -29,6 +35,7 @@ class Planned:
     primary: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
     view: Callable[[DataFrame], DataFrame] | None = None
+    view_name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -97,6 +104,8 @@ class Window:
 def window(index: int, config, anchor: Anchor | None) -> Window:
     """The index-th window: a span of sim time, or a civil day, week or month in the anchor's zone."""
     if config.sim_period_ns is not None:
+        if anchor is not None:
+            raise BundleError("incremental", "with a time origin the windows are civil periods, not spans of sim time")
         a = index * config.sim_period_ns
         return Window(index, a, a + config.sim_period_ns, f"w{index:05d}_ns{a}")
     if anchor is None:
@@ -121,7 +130,7 @@ def window(index: int, config, anchor: Anchor | None) -> Window:
         return (delta.days * 86_400_000_000 + delta.seconds * 1_000_000 + delta.microseconds) * 1000
 
     a, b = border(index), border(index + 1)
-    return Window(index, max(0, ns(a)), ns(b), f"w{index:05d}_{a:%Y-%m-%d}")
+    return Window(index, max(0, ns(a)), ns(b), f"w{index:05d}_{max(a, local):%Y-%m-%d}")
 
 
 def fingerprint(export: Export, anchor: Anchor | None, sidecar: Sidecar, fmt: str) -> str:

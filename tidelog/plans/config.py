@@ -109,6 +109,15 @@ class Fk:
     as_of: str | None = None
     member_path: list[str] | None = None
 
+    def __post_init__(self):
+        if self.via == "reference":
+            if any(getattr(self, n) is not None for n in ("where", "member_field", "property", "as_of", "member_path")):
+                raise BundleError("config", "an edge by reference takes no membership fields")
+        elif self.path is not None:
+            raise BundleError("config", "an edge by membership takes no path")
+        if (self.as_of is None) != (self.member_path is None):
+            raise BundleError("config", "as_of and member_path belong together")
+
 
 @dataclass
 class Ordinal:
@@ -155,7 +164,8 @@ class Lookup:
     path: list[str] | None = None
 
     def __post_init__(self):
-        one_of("lookup", to=self.to, path=self.path)
+        if self.path is not None and self.to is None:
+            raise BundleError("config", "a lookup's path needs its to")
 
 
 @dataclass
@@ -292,6 +302,13 @@ class Base:
     slice_at: int | None = None
     declare_keys: bool = False
 
+    def __post_init__(self):
+        if self.slice_at is not None and self.slice_at < 0:
+            raise BundleError("config", "slice_at is not negative")
+        if any(r.sub_type is not None for r in self.rename):
+            raise BundleError("config", "a flat export splits no kind, so a rename names no sub-type")
+        unique("renames", (r.table for r in self.rename))
+
 
 @dataclass
 class Rebase:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.operators import kernels, temporal
-from tidelog.plans.common import RESERVED, Anchor, Notice, Planned, Sink, Window, require_unique
+from tidelog.plans.common import RESERVED_COLUMNS, Anchor, Notice, Planned, Sink, Window, require_unique, reserved
 from tidelog.plans.config import Dimensional, Export, Fk, OutColumn, OutTable
 from tidelog.plans.election import Election, claim, elect, guard, translate
 from tidelog.sources.bundle import Bundle, BundleError, Sidecar, condition
@@ -77,7 +77,6 @@ class TableBuilder:
         t = self.table
         self.check()
         rows, key = self.grain()
-        rows = rows.withColumn("_ordinal_at", F.lit(0))
         out: dict[str, Column] = {}
         for c in t.columns:
             rows, out[c.name] = self.column(rows, c)
@@ -86,9 +85,10 @@ class TableBuilder:
         for c in t.columns:
             if c.mode == "derived" and c.derived.mode == "ordinal":
                 o = c.derived.ordinal
-                along = W.partitionBy(out[o.partition_by]).orderBy(out[o.order_by].asc_nulls_last(), F.col("record_id"))
+                ties = [F.col(n).asc_nulls_first() for n in self.source_table().names() if n in made.columns]
+                along = W.partitionBy(out[o.partition_by]).orderBy(out[o.order_by].asc_nulls_last(), F.col("record_id"), *ties)
                 out[c.name] = F.row_number().over(along)
-        mode, view = "replace", None
+        mode, view, name = "replace", None, t.name
         # the filter of the window follows the numbering, so numbers are the same in every window
         selected = made.select(*(c.alias(n) for n, c in out.items()), F.col(key).alias("_window_key"))
         if self.window is not None and not (t.role == "dim" and t.scd == "type1"):
@@ -98,15 +98,17 @@ class TableBuilder:
                 ends = [c.name for c in t.columns if c.mode == "derived" and c.derived.scd_window == "valid_to"]
                 starts = [c.name for c in t.columns if c.mode == "derived" and c.derived.scd_window == "valid_from"]
                 identity = [k for k in t.key if k not in starts]
-                selected = selected.drop(*ends).withColumnRenamed("_window_key", "__valid_from_ns")
-                view = version_view(identity, starts[0], ends, [c.name for c in t.columns])
-        elif self.window is not None:
-            selected = selected  # a full snapshot each time
-        return Planned(t.name, selected.drop("_window_key"), mode, view=view)
+                if ends:
+                    if len(starts) != 1 or not identity:
+                        raise BundleError("incremental", f"{t.name}: its view needs one valid_from column and an identity in its key")
+                    name = f"{t.name}__rows"
+                    selected = selected.drop(*ends).withColumnRenamed("_window_key", "__valid_from_ns")
+                    view = version_view(identity, starts[0], ends, [c.name for c in t.columns])
+        return Planned(name, selected.drop("_window_key"), mode, view=view, view_name=t.name if view else None)
 
     def check(self) -> None:
         t, names = self.table, [c.name for c in self.table.columns]
-        if t.name in RESERVED or any(n.startswith("__") for n in names):
+        if reserved(t.name) or set(names) & set(RESERVED_COLUMNS):
             raise BundleError("reserved", f"{t.name}: a reserved name is used")
         if missing := [k for k in t.key if k not in names]:
             raise BundleError("key", f"{t.name}: key {', '.join(missing)} is no column")
@@ -125,10 +127,43 @@ class TableBuilder:
         for c in t.columns:
             if c.mode == "derived" and c.derived.mode == "ordinal" and not {c.derived.ordinal.partition_by, c.derived.ordinal.order_by} <= set(names):
                 raise BundleError("ordinal", f"{t.name}.{c.name} refers to no sibling column")
-            if self.window is not None and c.mode == "derived" and c.derived.mode == "elapsed":
+            if c.mode == "lookup" and t.scd == "type2":
+                raise BundleError("lookup", f"{t.name}.{c.name}: a dim of type 2 takes no lookup")
+        if self.window is not None:
+            self.check_window()
+
+    def check_window(self) -> None:
+        """A window selects rows and never recomputes them, so no value may depend on what comes after it."""
+        t, g = self.table, self.table.source
+        if g.grain in ("history_interval", "membership"):
+            raise BundleError("incremental", f"{t.name}: rows of the grain {g.grain} change after their window")
+        snapshot = t.role == "dim" and t.scd == "type1"
+        key = {"history_point": "sim_time", "records": "last_mutation_sim_time"}[g.grain]
+        sources = {c.name: c.source or c.correlation for c in t.columns}
+
+        def constant(kind: str, column: str) -> bool:
+            c = self.side.records(kind).column(column)
+            return c is None or c.role not in ("payload", "index") or c.temporal_class == "constant" or column == self.side.discriminator(kind)
+
+        for c in t.columns:
+            if c.mode == "derived" and c.derived.mode == "elapsed":
                 raise BundleError("incremental", f"{t.name}.{c.name}: elapsed needs the whole tape")
-            if self.window is not None and c.mode == "fk" and c.fk.via == "membership" and t.source.grain == "records":
+            if c.mode == "derived" and c.derived.mode == "ordinal" and sources.get(c.derived.ordinal.order_by) != key:
+                raise BundleError("incremental", f"{t.name}.{c.name}: numbers must follow {key}")
+            if c.mode == "fk" and c.fk.via == "membership":
                 raise BundleError("incremental", f"{t.name}.{c.name}: a membership edge changes after its window")
+            if c.mode == "fk":
+                kind = self.kind
+                dim = next((d for d in self.config.tables if d.name == c.fk.to), None)
+                for hop in resolve_path(self.side, kind, dim.source.kind if dim else None, c.fk.path)[0]:
+                    if not constant(kind, hop):
+                        raise BundleError("incremental", f"{t.name}.{c.name}: {hop} changes")
+                    kind = self.side.references(kind)[hop]
+            if snapshot and c.source and not constant(self.kind, c.source):
+                raise BundleError("incremental", f"{t.name}.{c.name}: {c.source} changes")
+        for name in g.filter or {}:
+            if not constant(self.kind, name):
+                raise BundleError("incremental", f"{t.name}: rows are selected by {name}, which changes")
 
     def source_table(self):
         g = self.table.source
@@ -147,7 +182,7 @@ class TableBuilder:
                     raise BundleError("slice-only", f"{t.name}: the past of {name} can't be known")
             records = self.bundle.records(g.kind, g.filter)
             if t.scd != "type2":
-                return records, "created_sim_time"
+                return records, "last_mutation_sim_time"
             tracked = self.side.tracked(g.kind)
             shown = [c.source[6:] for c in t.columns if c.source and c.source.startswith("prop__") and c.source[6:] in tracked]
             made = temporal.versions(self.bundle, g.kind, sorted({*shown}) or tracked[:1], scope=tracked)
@@ -208,11 +243,19 @@ class TableBuilder:
         return rows, F.lit(None).cast("int")  # an ordinal, filled in later
 
     def lookup(self, rows: DataFrame, c: OutColumn) -> tuple[DataFrame, Column]:
-        path, end = resolve_path(self.side, self.kind, c.lookup.to, c.lookup.path)
+        alias = f"_look_{c.name}"
+        if c.lookup.to is None or (c.lookup.to == self.kind and c.lookup.path is None):
+            if self.table.source.grain == "records":
+                raise BundleError("lookup", f"{self.table.name}.{c.name}: the grain has the property itself")
+            path, end = [], self.kind
+        else:
+            path, end = resolve_path(self.side, self.kind, c.lookup.to, c.lookup.path)
         prop = self.side.records(end).column(f"prop__{c.lookup.property}")
-        if prop is None or prop.temporal_class != "constant":
+        if prop is None or (prop.temporal_class != "constant" and prop.name != self.side.discriminator(end)):
             raise BundleError("lookup", f"{end}.{c.lookup.property} is no constant property")
-        alias = f"_look_{c.name}"
+        if not path:
+            own = self.bundle.records(self.kind).select(F.col("record_id").alias("_rid"), F.col(prop.name).alias(alias))
+            return rows.join(own, rows["record_id"] == own["_rid"], "left").drop("_rid"), F.col(alias)
         rows = self.with_first(rows, path[0])
         return follow(rows, self.bundle, self.kind, path, path[0], alias, prop.name), F.col(alias)
 
@@ -230,10 +273,7 @@ class TableBuilder:
         goal, alias = dim.source.kind, f"_fk_{c.name}"
         if fk.via == "reference":
             path, _ = resolve_path(self.side, self.kind, goal, fk.path)
-            if len(path) == 1:  # the id itself, whether or not it resolves: the left join below keeps only what does
-                rows = self.with_first(rows, path[0])
-            else:
-                rows = self.with_first(rows, path[0])
+            rows = self.with_first(rows, path[0])
             rows = follow(rows, self.bundle, self.kind, path, path[0], alias)
         else:
             rows = self.membership_fk(rows, fk, goal, alias)
@@ -246,7 +286,9 @@ class TableBuilder:
         return rows, F.col(shown)
 
     def membership_fk(self, rows: DataFrame, fk: Fk, goal: str, alias: str) -> DataFrame:
-        g = self.table.source
+        g, member_kind = self.table.source, goal
+        if fk.as_of:
+            member_kind = resolve_path(self.side, self.kind, None, fk.member_path)[1] if fk.member_path else self.kind
         options = [
             (t, f) for t in self.side.tables if t.category == "membership" and (fk.property is None or t.property == fk.property)
             for f in t.member_fields() if (fk.member_field is None or f == fk.member_field)
@@ -261,8 +303,17 @@ class TableBuilder:
         edges = self.bundle.membership(table.record_kind, table.property, fk.where)
         if fk.as_of:
             # the owner that holds the row's member at the row's time
-            edges = edges.where((F.col(kind_col) == self.kind) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("record_id"), F.col("record_id").alias(alias), "joined_sim_time", "left_sim_time")
-            return kernels.containing(rows, fk.as_of, edges, ["record_id"], "joined_sim_time", "left_sim_time", [alias], CELL)
+            edges = edges.where((F.col(kind_col) == member_kind) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_member"), F.col("record_id").alias(alias), "joined_sim_time", "left_sim_time")
+            if fk.member_path:
+                rows = self.with_first(rows, fk.member_path[0])
+                if len(fk.member_path) == 1:  # the reference itself names the member
+                    rows = rows.withColumn("_member", F.col(fk.member_path[0]))
+                else:
+                    rows = follow(rows, self.bundle, self.kind, fk.member_path, fk.member_path[0], "_member")
+            else:
+                rows = rows.withColumn("_member", F.col("record_id"))
+            edges = edges.withColumnsRenamed({"joined_sim_time": "_from", "left_sim_time": "_until"})
+            return kernels.containing(rows, fk.as_of, edges, ["_member"], "_from", "_until", [alias], CELL).drop("_member")
         edges = edges.where(F.col(kind_col) == goal).select(F.col("record_id").alias("_owner"), F.col(id_col).alias(alias))
         return rows.join(edges, rows["record_id"] == edges["_owner"], "left").drop("_owner")
 

@@ -15,7 +15,7 @@ PLANNERS = {"dimensional": dimensional.plan, "source": source.plan, "base": base
 
 def export_tables(bundle: Bundle, export: Export, anchor: Anchor | None = None, span: Window | None = None, notices: Sink = lambda n: None) -> list[Planned]:
     anchor = anchor or resolve_anchor(bundle.sidecar, export.rebase)
-    return PLANNERS[export.mode](bundle, export, anchor if export.mode != "base" or export.rebase else None, span, notices)
+    return PLANNERS[export.mode](bundle, export, anchor, span, notices)
 
 
 def explicit(start: int, end: int) -> Window:

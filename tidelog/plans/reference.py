@@ -191,7 +191,8 @@ def exp_scd2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INSTANTS} SELECT v.record_id AS patient_id, p.prop__name AS name, s.v AS status, y.v AS severity, {_TS.format('version_start')} AS valid_from, version_start AS __valid_from_ns FROM vers v LEFT JOIN records__patient p ON v.record_id = p.record_id WHERE version_start >= {LO} AND version_start < {HI}")
 def exp_scd2_window(spark: SparkSession, d: str) -> DataFrame:
-    return _star(spark, d, "patient", span=Window(None, LO, HI, "w"))
+    raw = {"mode": "dimensional", "dimensional": {"tables": [_STAR["patient"]]}}
+    return _one(clinic(spark, d), raw, "dim_patient__rows", Window(None, LO, HI, "w"))
 
 
 @query(SQL["exp_scd2"])
@@ -205,9 +206,29 @@ def inc_windows_make_the_whole(spark: SparkSession, d: str) -> DataFrame:
     return view(rows)
 
 
-@query(f"SELECT record_id AS patient_id, joined_sim_time AS joined, elem__slot AS slot, CASE WHEN member__doctor__kind = 'doctor' THEN member__doctor__id END AS doctor_id FROM membership__patient__visits WHERE joined_sim_time >= {LO} AND joined_sim_time < {HI}")
-def exp_fact_membership_window(spark: SparkSession, d: str) -> DataFrame:
-    return _star(spark, d, "visit", span=Window(None, LO, HI, "w"))
+@query("SELECT record_id AS patient_id, joined_sim_time AS joined, elem__slot AS slot, CASE WHEN member__doctor__kind = 'doctor' THEN member__doctor__id END AS doctor_id FROM membership__patient__visits")
+def exp_fact_membership(spark: SparkSession, d: str) -> DataFrame:
+    return _star(spark, d, "visit")
+
+
+@query(f"SELECT record_id AS patient_id, sim_time AS at, value AS status, row_number() OVER (PARTITION BY record_id ORDER BY sim_time, record_id, value NULLS FIRST) AS nth FROM history WHERE kind = 'patient' AND property = 'status' QUALIFY sim_time >= {LO} AND sim_time < {HI}")
+def exp_fact_history_window(spark: SparkSession, d: str) -> DataFrame:
+    """The window's rows with the numbers they have in the whole."""
+    columns = [{"name": "patient_id", "from": "record_id"}, {"name": "at", "from": "sim_time"}, {"name": "status", "from": "value"}]
+    columns.append({"name": "nth", "derived": {"ordinal": {"partition_by": "patient_id", "order_by": "at"}}})
+    raw = {"mode": "dimensional", "dimensional": {"tables": [{"name": "f", "role": "fact", "source": {"grain": "history_point", "kind": "patient", "property": "status"}, "key": ["patient_id", "at"], "columns": columns}]}}
+    return _one(clinic(spark, d), raw, "f", Window(None, LO, HI, "w"))
+
+
+@query(f"""WITH ranked AS (SELECT p.record_id AS patient, v.record_id AS holder, row_number() OVER (PARTITION BY p.record_id ORDER BY v.joined_sim_time DESC, v.record_id) AS n
+        FROM records__patient p JOIN membership__patient__visits v ON v.member__doctor__kind = 'doctor' AND v.member__doctor__id = p.prop__doctor_id AND v.joined_sim_time <= p.last_mutation_sim_time AND p.last_mutation_sim_time < coalesce(v.left_sim_time, 9223372036854775807))
+    SELECT p.record_id AS patient_id, r.holder AS other_id FROM records__patient p LEFT JOIN ranked r ON r.patient = p.record_id AND r.n = 1""")
+def exp_fk_at_a_moment(spark: SparkSession, d: str) -> DataFrame:
+    """Which patient was with a patient's doctor when the patient's record last changed: the latest visit, then the smallest id."""
+    edge = {"to": "dim_other", "via": "membership", "as_of": "last_mutation_sim_time", "member_path": ["prop__doctor_id"]}
+    other = {"name": "dim_other", "role": "dim", "scd": "type1", "source": {"grain": "records", "kind": "patient"}, "key": ["id"], "columns": [{"name": "id", "from": "record_id"}]}
+    fact = {"name": "f", "role": "fact", "source": {"grain": "records", "kind": "patient"}, "key": ["patient_id"], "columns": [{"name": "patient_id", "from": "record_id"}, {"name": "other_id", "fk": edge}]}
+    return _one(clinic(spark, d), {"mode": "dimensional", "dimensional": {"tables": [other, fact]}}, "f")
 
 
 @query("SELECT p.record_id AS patient_id, v.member__doctor__id AS doctor_id FROM records__patient p LEFT JOIN membership__patient__visits v ON v.record_id = p.record_id AND v.elem__slot = 1 AND v.member__doctor__kind = 'doctor'")
@@ -318,12 +339,12 @@ def fn_anchor_dst(spark: SparkSession, d: str) -> DataFrame:
 # --- base and source exports ----------------------------------------------
 
 
-@query(f"WITH {_state(f'<= {T}')} SELECT s.record_index AS patient_key, s.record_id AS id, s.created_sim_time, s.active, s.deactivated_at, s.prop__status, s.prop__severity, s.prop__name, s.prop__doctor_id, dr.record_index AS doctor_id_key FROM state s LEFT JOIN records__doctor dr ON dr.record_id = s.prop__doctor_id AND dr.created_sim_time <= {T}")
+@query(f"WITH {_state(f'<= {T}')} SELECT s.record_index AS patient_key, s.record_id AS id, {_TS.format('s.created_sim_time')} AS created_sim_time, s.active, {_TS.format('s.deactivated_at')} AS deactivated_at, s.prop__status, s.prop__severity, s.prop__name, s.prop__doctor_id, dr.record_index AS doctor_id_key FROM state s LEFT JOIN records__doctor dr ON dr.record_id = s.prop__doctor_id AND dr.created_sim_time <= {T}")
 def exp_base_slice(spark: SparkSession, d: str) -> DataFrame:
     return _one(clinic(spark, d), {"mode": "base", "base": {"slice_at": T}}, "patient")
 
 
-@query("SELECT o_orderkey AS order_key, CAST(o_orderkey AS VARCHAR) AS id, date_diff('microsecond', TIMESTAMP '1995-01-01', o_orderdate) * 1000 AS created_sim_time, o_orderstatus <> 'F' AS active, CASE WHEN o_orderstatus = 'F' THEN date_diff('microsecond', TIMESTAMP '1995-01-01', o_orderdate) * 1000 END AS deactivated_at, o_orderstatus AS prop__order_type, o_orderpriority AS prop__priority, o_totalprice AS prop__total, CAST(o_custkey AS VARCHAR) AS prop__customer_id, o_custkey AS customer_id_key FROM orders")
+@query("SELECT o_orderkey AS order_key, CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS created_sim_time, o_orderstatus <> 'F' AS active, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deactivated_at, o_orderstatus AS prop__order_type, o_orderpriority AS prop__priority, o_totalprice AS prop__total, CAST(o_custkey AS VARCHAR) AS prop__customer_id, o_custkey AS customer_id_key FROM orders")
 def exp_base_current(spark: SparkSession, d: str) -> DataFrame:
     return _one(sales(spark, d), {"mode": "base"}, "order")
 
@@ -346,22 +367,22 @@ def exp_source_junction_window(spark: SparkSession, d: str) -> DataFrame:
     return _one(clinic(spark, d), _SOURCE, "stay", Window(None, LO, HI, "w"))
 
 
-_PAIR = "CASE WHEN {o} IS DISTINCT FROM {n} THEN '\"{k}\":[' || coalesce(to_json({o})::VARCHAR, 'null') || ',' || coalesce(to_json({n})::VARCHAR, 'null') || ']' END"
+_PAIR = "CASE WHEN {a} OR {o} IS DISTINCT FROM {n} THEN '\"{k}\":[' || coalesce(to_json({o})::VARCHAR, 'null') || ',' || coalesce(to_json({n})::VARCHAR, 'null') || ']' END"
 _LOG = f"""{_INSTANTS.replace("'status', 'severity', 'doctor_id') GROUP", "'status', 'severity') GROUP")},
     ev AS (SELECT record_id, created_sim_time AS sim_time, 'c' AS op, 0 AS op_class FROM records__patient
            UNION ALL SELECT record_id, deactivated_at, 'd', 2 FROM records__patient WHERE deactivated_at IS NOT NULL
            UNION ALL SELECT i.record_id, i.sim_time, 'u', 1 FROM inst i JOIN records__patient p ON p.record_id = i.record_id AND i.sim_time > p.created_sim_time),
     imaged AS (SELECT e.*, CASE WHEN e.op <> 'd' THEN v.s.v END AS status, CASE WHEN e.op <> 'd' THEN v.y.v END AS severity FROM ev e ASOF LEFT JOIN vers v ON e.record_id = v.record_id AND e.sim_time >= v.version_start),
     lagged AS (SELECT *, CASE WHEN op <> 'c' THEN lag(status) OVER w END AS os, CASE WHEN op <> 'c' THEN lag(severity) OVER w END AS oy FROM imaged WINDOW w AS (PARTITION BY record_id ORDER BY sim_time, op_class)),
-    changed AS (SELECT *, '{{' || concat_ws(',', {_PAIR.format(o='os', n='status', k='status')}, {_PAIR.format(o='oy', n='severity', k='level')}) || '}}' AS changes FROM lagged),
+    changed AS (SELECT *, '{{' || concat_ws(',', {_PAIR.format(a="op <> 'u'", o='os', n='status', k='status')}, {_PAIR.format(a="op <> 'u'", o='oy', n='severity', k='level')}) || '}}' AS changes FROM lagged),
     {_MEMBEREVENTS.strip()},
     labelled AS (SELECT *, CASE member__doctor__kind WHEN 'doctor' THEN 'physician' ELSE member__doctor__kind END AS k, CAST(elem__slot AS VARCHAR) AS sl FROM member),
     arms AS (
         SELECT 'patient' AS item_type, record_id AS item_id, CASE op WHEN 'c' THEN 'create' WHEN 'u' THEN 'update' ELSE 'destroy' END AS event, sim_time, op_class, changes FROM changed WHERE op <> 'u' OR changes <> '{{}}'
         UNION ALL
-        SELECT 'stay', record_id, op, sim_time, op_class, '{{' || CASE op WHEN 'join' THEN concat_ws(',', {_PAIR.format(o='NULL', n='sl', k='slot')}, {_PAIR.format(o='NULL', n='k', k='doctor_kind')}, {_PAIR.format(o='NULL', n='member__doctor__id', k='doctor_id')})
-            ELSE concat_ws(',', {_PAIR.format(o='sl', n='NULL', k='slot')}, {_PAIR.format(o='k', n='NULL', k='doctor_kind')}, {_PAIR.format(o='member__doctor__id', n='NULL', k='doctor_id')}) END || '}}' FROM labelled),
-    log AS (SELECT row_number() OVER (ORDER BY sim_time, op_class, item_type, item_id, event, changes) AS id, * FROM arms)"""
+        SELECT 'stay', record_id, CASE op WHEN 'join' THEN 'create' ELSE 'destroy' END, sim_time, op_class, '{{' || CASE op WHEN 'join' THEN concat_ws(',', {_PAIR.format(a='true', o='NULL', n='sl', k='slot')}, {_PAIR.format(a='true', o='NULL', n='k', k='doctor_kind')}, {_PAIR.format(a='true', o='NULL', n='member__doctor__id', k='doctor_id')})
+            ELSE concat_ws(',', {_PAIR.format(a='true', o='sl', n='NULL', k='slot')}, {_PAIR.format(a='true', o='k', n='NULL', k='doctor_kind')}, {_PAIR.format(a='true', o='member__doctor__id', n='NULL', k='doctor_id')}) END || '}}' FROM labelled),
+    log AS (SELECT row_number() OVER (ORDER BY sim_time, item_type, op_class, item_id, changes) AS id, * FROM arms)"""
 
 
 @query(f"WITH {_LOG} SELECT id, item_type, item_id, event, {_TS.format('sim_time')} AS occurred_at, changes FROM log WHERE sim_time >= {LO} AND sim_time < {HI}")

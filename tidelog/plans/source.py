@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.operators import kernels, temporal
-from tidelog.plans.common import RESERVED, Anchor, Notice, Planned, Sink, Window
+from tidelog.plans.common import Anchor, Notice, Planned, Sink, Window, reserved
 from tidelog.plans.config import EventLog, EventSource, Export, SourceTable
 from tidelog.plans.election import Election, claim, elect, guard, identities, translate
 from tidelog.sources.bundle import Bundle, BundleError
@@ -49,9 +49,13 @@ def plan(bundle: Bundle, export: Export, anchor: Anchor | None, window: Window |
     guard(bundle, election, set(bundle.sidecar.kinds()))
     out = [state_table(bundle, t, election, anchor, window, config.declare_keys, notices) if t.kind else junction(bundle, t, election, anchor, window, config.kind_labels) for t in config.tables]
     if config.events:
+        for s in config.events.sources:
+            for p in bundle.sidecar.records(s.kind).properties() if s.kind else []:
+                if bundle.sidecar.slice_only(s.kind, f"prop__{p}"):
+                    notices(Notice("slice-only-column-omitted", f"{config.events.name}: {s.kind}.{p}"))
         out.append(event_log(bundle, config.events, election, anchor, window, config.kind_labels, config.declare_keys))
     for t in out:
-        if t.name in RESERVED:
+        if reserved(t.name):
             raise BundleError("reserved", t.name)
         if len(set(t.frame.columns)) < len(t.frame.columns):
             raise BundleError("naming", f"{t.name}: two columns of one name")
@@ -138,11 +142,11 @@ def member_identity(rows: DataFrame, bundle: Bundle, election: Election, kind_co
     return joined.withColumn(id_column, F.when(F.col(kind_column).isin(others), F.col("_to")).otherwise(F.col(id_column))).drop("_k", "_from", "_to")
 
 
-def pair(key: str, old: Column, new: Column) -> Column:
-    """A changeset entry "key":[old,new], null where nothing changed. Values are JSON texts."""
+def pair(key: str, old: Column, new: Column, always: Column) -> Column:
+    """A changeset entry "key":[old,new]; null where nothing changed, unless ``always``. Values are JSON texts."""
     text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
     head = F.regexp_extract(F.to_json(F.array(F.lit(key))), r"(?s)^\[(.*)\]$", 1)
-    return F.when(~old.eqNullSafe(new), F.concat(head, F.lit(":["), text(old), F.lit(","), text(new), F.lit("]")))
+    return F.when(always | ~old.eqNullSafe(new), F.concat(head, F.lit(":["), text(old), F.lit(","), text(new), F.lit("]")))
 
 
 def changeset(parts: list[Column]) -> Column:
@@ -156,7 +160,7 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
     """item_type, item_id, event, sim_time, class and changes of one kind's events; updates that change no audited property are left out."""
     side, kind = bundle.sidecar, s.kind
     table = side.records(kind)
-    candidates = [p for p in table.properties() if not side.slice_only(kind, f"prop__{p}") and f"prop__{p}" != side.discriminator(kind)]
+    candidates = [p for p in table.properties() if not side.slice_only(kind, f"prop__{p}")]
     for p in (s.only or []) + (s.ignore or []) + list(s.rename or {}):
         if p not in candidates:
             raise BundleError("events", f"{kind} has no audited property {p}")
@@ -175,7 +179,7 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
             events = translate(events, bundle, election, target, p)
     before = W.partitionBy("record_id").orderBy("sim_time", "op_class")
     events = events.withColumns({f"_old_{p}": F.lag(p).over(before) for p in audited})
-    parts = [pair(k, F.when(F.col("op") != "c", F.col(f"_old_{p}")), F.col(p)) for k, p in zip(keys, audited, strict=True)]
+    parts = [pair(k, F.when(F.col("op") != "c", F.col(f"_old_{p}")), F.col(p), F.col("op") != "u") for k, p in zip(keys, audited, strict=True)]
     events = events.withColumn("changes", changeset(parts)).where((F.col("op") != "u") | (F.col("changes") != "{}"))
     events = translate(events, bundle, election, kind, "record_id", "_shown")
     event = F.when(F.col("op") == "c", EVENTS["c"]).when(F.col("op") == "u", EVENTS["u"]).otherwise(EVENTS["d"])
@@ -199,9 +203,9 @@ def membership_arm(bundle: Bundle, s: EventSource, election: Election, labels: d
             events = member_identity(events, bundle, election, c.name[:-4] + "__kind", c.name)
         value = labelled(F.col(c.name), labels) if c.name.endswith("__kind") else F.col(c.name).cast("string")
         joined = F.col("op") == "join"
-        parts.append(pair((s.rename or {}).get(name, name), F.when(~joined, value), F.when(joined, value)))
+        parts.append(pair((s.rename or {}).get(name, name), F.when(~joined, value), F.when(joined, value), F.lit(True)))
     events = translate(events.withColumn("changes", changeset(parts)), bundle, election, ref.kind, "record_id", "_shown")
-    return events.select(F.lit(s.item_type or f"{labels.get(ref.kind, ref.kind)}_{ref.property}").alias("item_type"), F.col("_shown").cast("string").alias("item_id"), F.col("op").alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
+    return events.select(F.lit(s.item_type or f"{labels.get(ref.kind, ref.kind)}.{ref.property}").alias("item_type"), F.col("_shown").cast("string").alias("item_id"), F.when(F.col("op") == "join", EVENTS["c"]).otherwise(EVENTS["d"]).alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
 
 
 def event_log(bundle: Bundle, log: EventLog, election: Election, anchor: Anchor, window: Window | None, labels: dict[str, str], keys: bool) -> Planned:
@@ -215,7 +219,7 @@ def event_log(bundle: Bundle, log: EventLog, election: Election, anchor: Anchor,
         seen[what] = i
         arm = (record_arm if s.kind else membership_arm)(bundle, s, election, labels)
         arms = arm if arms is None else arms.unionByName(arm)
-    numbered = kernels.dense_sequence(arms, ["sim_time", "op_class", "item_type", "_rid", "event", "changes"], "id")
+    numbered = kernels.dense_sequence(arms, ["sim_time", "item_type", "op_class", "_rid", "changes"], "id")
     if window:
         numbered = numbered.where(window.holds("sim_time"))
     frame = numbered.select("id", "item_type", "item_id", "event", anchor.column("sim_time").alias("occurred_at"), "changes")
