@@ -271,6 +271,9 @@ class TableBuilder:
         if dim is None or dim.role != "dim":
             raise BundleError("fk", f"{self.table.name}.{c.name}: {fk.to} is no dim")
         goal, alias = dim.source.kind, f"_fk_{c.name}"
+        surface = fk.target_key or next(iter(sorted(self.election.surfaces(goal))))
+        if len(self.election.surfaces(goal)) == 1 and not any(k.source in (surface, "record_id") for k in dim.columns if k.name in dim.key):
+            raise BundleError("fk", f"{self.table.name}.{c.name} shows {surface}, which is in no key column of {dim.name}")
         if fk.via == "reference":
             path, _ = resolve_path(self.side, self.kind, goal, fk.path)
             rows = self.with_first(rows, path[0])

@@ -99,6 +99,16 @@ class Playback:
             out[self.name(a)] = rows
         return out
 
+    def stamped(self, a: Atom, rows: DataFrame) -> DataFrame:
+        """rows of a snapshot with their record's sub-type and, beside each sim-time column, its wall-clock time."""
+        side = self.bundle.sidecar
+        name = side.discriminator(a.kind)
+        if name:
+            leaf = self.bundle.records(a.kind).select(F.col("record_id").alias("_rid"), F.col(name).alias("owner_sub_type" if a.membership else "sub_type"))
+            rows = rows.join(leaf, rows["record_id"] == leaf["_rid"], "left").drop("_rid")
+        times = [c for c in rows.columns if c.endswith("_sim_time") or c == "deactivated_at"]
+        return rows.withColumns({f"{c}_ts": self.anchor.column(c) if self.anchor else F.lit(None).cast("timestamp_ntz") for c in times})
+
     def seek(self, moment: int) -> tuple[dict[str, DataFrame], DataFrame]:
         """The state at the moment and the events after it."""
         last = self.bundle.sidecar.slice_at

@@ -6,6 +6,7 @@ the loss of any executor.
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -26,9 +27,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_fresh: list[tuple[SparkSession, str]] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing else uses; what is in it goes when the driver's Python ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _fresh.append((spark, path))
+    return path
+
+
+@atexit.register
+def drop_fresh() -> None:
+    """Delete the folders made so far. Frames that read them are no longer usable."""
+    while _fresh:
+        spark, path = _fresh.pop()
+        try:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to clear
+            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
