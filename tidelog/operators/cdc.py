@@ -38,12 +38,13 @@ class BucketedTable:
     equal ones are told apart by all other columns, so results don't depend
     on file order. movable: whether a later delivery may name another key; if
     so, the buckets that hold the older delivery are found by a scan of the
-    change column alone.
+    change column alone. files: how many files a bucket is written in, so a
+    large bucket, or one with a hot key, is the work of several tasks.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], change: str, version: str, buckets: int = 64, movable: bool = True):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], change: str, version: str, buckets: int = 64, movable: bool = True, files: int = 4):
         self.spark, self.path, self.schema, self.buckets, self.movable = spark, path.rstrip("/"), schema, buckets, movable
-        self.keys, self.change, self.version = list(keys), change, version
+        self.keys, self.change, self.version, self.files = list(keys), change, version, files
         self.manifests = Manifests(spark, path)
 
     def bucket(self) -> Column:
@@ -80,7 +81,7 @@ class BucketedTable:
         merged = b.hint("merge").join(d, "_id", "full_outer").select(newer.alias("_row")).select("_row.*")
         out = f"{self.path}/data/v{manifest['version'] + 1:08d}-{self.spark.sparkContext.applicationId}"
         # several files a bucket, so one with a hot key is written by more than one task
-        placed = merged.withColumn("_bucket", self.bucket()).withColumn(SALT, F.pmod(F.xxhash64(self.change), F.lit(4)))
+        placed = merged.withColumn("_bucket", self.bucket()).withColumn(SALT, F.pmod(F.xxhash64(self.change), F.lit(self.files)))
         placed.repartition("_bucket", SALT).drop(SALT).write.mode("overwrite").partitionBy("_bucket").parquet(out)
         now = {int(r[0]) for r in self.spark.read.parquet(out).select("_bucket").distinct().collect()} if touched else set()
         held = {k: v for k, v in held.items() if int(k) not in touched} | {str(k): f"{out}/_bucket={k}" for k in now}

@@ -24,6 +24,8 @@ from tidelog.sources.bundle import Bundle, BundleError, Table, filtered, spark_t
 from tidelog.sources.shared import written
 
 BEYOND = "beyond-c1-c12"
+#: Mutations that need the column's other values.
+POOLED = ("resample", "out_of_domain")
 #: Columns that no operation may change in place.
 FIXED = ("fork_path", "record_id", "record_index", "kind", "property")
 ROW = "_row"
@@ -296,23 +298,53 @@ class Runner:
         m = self.op.mutation
         fits = lambda t, c: any(t.column(c).type.upper().startswith(k) for k in mutations.TAKES[m.kind])
         targets = {t.name: [c for c in self.columns(t) if fits(t, c)] for t in self.tables()}
-        # the distinct values of a column are what resampling and domains are made of
-        pools: dict[tuple[str, str], Column] = {}
-        frames = dict(self.state.frames)
-        if m.kind in ("resample", "out_of_domain"):
-            for name, columns in targets.items():
-                pool = frames[name].agg(*(F.array_sort(F.collect_set(c)).alias(f"_pool_{c}") for c in columns))
-                self.state.frames[name] = frames[name].crossJoin(F.broadcast(pool))  # one row: the columns' distinct values
-                pools |= {(name, c): F.col(f"_pool_{c}") for c in columns}
+        drawn = self.cells(targets)
+        if m.kind in POOLED:
+            for name, cells in drawn.items():
+                self.state.frames[name] = self.with_replacements(name, self.state.frames[name], cells, targets[name])
 
         def value(t: Table, c: str, f: DataFrame) -> Column:
             if c not in targets[t.name]:
                 return F.col(c)
-            return mutations.mutate(m.kind, F.col(c), t.column(c).type, self.hash(ROW, F.lit(c)), pools.get((t.name, c)), **m.options())
+            if m.kind in POOLED:
+                return F.coalesce(F.element_at("_news", c).cast(spark_type(t.column(c).type)), F.col(c))
+            return mutations.mutate(m.kind, F.col(c), t.column(c).type, self.hash(ROW, F.lit(c)), **m.options())
 
-        drawn = self.cells(targets)
         self.change_cells(drawn, value, mutations.CLASS[m.kind])
 
+    def with_replacements(self, name: str, frame: DataFrame, cells: DataFrame, columns: list[str], kind: str | None = None) -> DataFrame:
+        """frame with _news, a map from column to the new value (as text) of each of the row's cells.
+
+        The distinct values of a column may be as many as its rows, so they are
+        never gathered: a resampled value is the one at a seeded place of the
+        numbered distinct values (the next one if that is the cell's own), and
+        transpositions are anti-joined against them.
+        """
+        kind, out = kind or self.op.mutation.kind, None
+        source = self.state.frames[name]
+        for c in columns:
+            values = source.select(F.col(c).alias("_v")).where("_v is not null").distinct()
+            hit = frame.select(ROW, F.col(c).alias("_old")).where("_old is not null").join(cells.where(F.col("_column") == c).select(ROW), ROW, "left_semi")
+            if kind == "resample":
+                numbered = kernels.dense_sequence(values, ["_v"], "_i", 0)
+                n = numbered.count()
+                if n < 2:
+                    continue
+                first = hit.withColumn("_i", F.pmod(self.hash(ROW, F.lit(c)), F.lit(n))).join(numbered, "_i")
+                again = first.where("_v = _old").select(ROW, "_old", F.pmod(F.col("_i") + 1, F.lit(n)).alias("_i")).join(numbered, "_i")
+                fresh = first.where("_v <> _old").select(ROW, "_v").unionByName(again.select(ROW, "_v"))
+            else:
+                places = F.sequence(F.lit(1), F.greatest(F.length("_old") - 1, F.lit(1)))
+                tries = hit.select(ROW, "_old", F.posexplode(F.transform(places, lambda i: mutations.swapped(F.col("_old"), i))).alias("_at", "_try"))
+                outside = tries.where("length(_old) >= 2 and _try <> _old").join(values, tries["_try"] == values["_v"], "left_anti")
+                found = outside.groupBy(ROW).agg(F.min_by("_try", "_at").alias("_v"))
+                fresh = hit.join(found, ROW, "left").select(ROW, F.coalesce("_v", F.concat("_old", F.right("_old", F.lit(1)))).alias("_v"))
+            one = fresh.select(ROW, F.struct(F.lit(c).alias("key"), F.col("_v").cast("string").alias("value")).alias("_e"))
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            return frame.withColumn("_news", F.lit(None).cast("map<string,string>"))
+        return frame.join(out.groupBy(ROW).agg(F.map_from_entries(F.collect_list("_e")).alias("_news")), ROW, "left")
+
     def duplicate_rows(self) -> None:
         op = self.op
         cls = "near_duplicate_row" if op.jitter else "conflicting_duplicate_row" if op.mutation else "duplicate_row"
@@ -326,8 +358,11 @@ class Runner:
                     moved = F.col(c) + op.jitter.draw(self.seed, F.col(ROW), F.lit(c))
                     copies = copies.withColumn(c, (F.bround(moved) if kind != "double" else moved).cast(kind))
                 if op.mutation and op.target.columns and any(table.column(c).type.upper().startswith(k) for k in mutations.TAKES[op.mutation.kind]):
-                    pool = F.array_sort(F.collect_set(c).over(Window.partitionBy())) if op.mutation.kind in ("resample", "out_of_domain") else None
-                    copies = copies.withColumn(c, mutations.mutate(op.mutation.kind, F.col(c), table.column(c).type, self.hash(ROW, F.lit(c)), pool, **op.mutation.options()))
+                    if op.mutation.kind in POOLED:
+                        copies = self.with_replacements(name, copies, drawn.withColumn("_column", F.lit(c)), [c])
+                        copies = copies.withColumn(c, F.coalesce(F.element_at("_news", c).cast(kind), F.col(c))).drop("_news")
+                    else:
+                        copies = copies.withColumn(c, mutations.mutate(op.mutation.kind, F.col(c), table.column(c).type, self.hash(ROW, F.lit(c)), **op.mutation.options()))
             copies = copies.withColumn(ROW, F.concat_ws("-", F.lit("copy"), self.seed, ROW))
             self.report(name, before, cls)
             self.put(name, self.state.frames[name].unionByName(copies))
@@ -356,8 +391,8 @@ class Runner:
             fresh = fresh.withColumns({"record_id": F.col("_new"), "record_index": F.col("_nth") + start, ROW: F.concat_ws("-", F.lit("ghost"), self.seed, ROW)})
             for c in self.op.target.columns or []:
                 if table.column(c):
-                    pool = frame.agg(F.array_sort(F.collect_set(c)).alias("_pool"))
-                    fresh = fresh.crossJoin(F.broadcast(pool)).withColumn(c, mutations.resample(F.col(c), F.col("_pool"), self.hash(ROW, F.lit(c)))).drop("_pool")
+                    fresh = self.with_replacements(name, fresh, fresh.select(ROW, F.lit(c).alias("_column")), [c], "resample")
+                    fresh = fresh.withColumn(c, F.coalesce(F.element_at("_news", c).cast(spark_type(table.column(c).type)), F.col(c))).drop("_news")
             fresh = fresh.select(*frame.columns)
             self.report(name, fresh, "phantom_row")
             self.put(name, frame.unionByName(fresh))

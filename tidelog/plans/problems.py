@@ -12,7 +12,9 @@ from tidelog.sources.tables import table
 PLACE = ["record_id", "member__patient__id"]
 ATTRIBUTES = ["status", "severity"]
 #: Changes in a bucket of the waiting lists, about.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS, FILE_ROWS = 100_000, 1_000_000
+#: The manifest names every bucket, so they are not more than this.
+MOST_BUCKETS = 4_096
 #: Cells of the export windows: half a day.
 CELL = 43_200_000_000_000
 
@@ -21,8 +23,9 @@ def waiting_lists(spark: SparkSession, d: str, slices: int) -> cdc.BucketedTable
     """The feed of the waiting lists, applied in batches by order of arrival."""
     feed = table(spark, d, "membership_events").select(*PLACE, "event_sim_time", cdc.change_class("event_class", "op").alias("cls"), "change_id", "arrival_seq")
     first, last, n = feed.agg(F.min("arrival_seq"), F.max("arrival_seq"), F.count(F.lit(1))).first()
-    buckets = max(8, n // BUCKET_ROWS)
-    lists = cdc.BucketedTable(spark, fresh_folder(spark, "waiting-lists"), feed.schema, PLACE, "change_id", "arrival_seq", buckets)
+    buckets = max(8, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    files = max(2, n // buckets // FILE_ROWS)
+    lists = cdc.BucketedTable(spark, fresh_folder(spark, "waiting-lists"), feed.schema, PLACE, "change_id", "arrival_seq", buckets, files=files)
     if first is None:
         return lists
     borders = [first + (last - first + 1) * i // slices for i in range(slices + 1)]

@@ -412,11 +412,6 @@ def win_dense_sequence(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dense_sequence(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], "seq").select("seq", "event_id")
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY hash(o_orderkey) LIMIT 0")
-def sample_none(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.smallest(table(spark, d, "orders").select("o_orderkey").withColumn("_o", F.xxhash64("o_orderkey")), "_o", 0).drop("_o")
-
-
 @query("SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 1234)")
 def sample_exact(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of exactly 1,234 orders, drawn without gathering or ordering all."""
