@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.words import LINK, PLAIN, list_words, words
+from tidelog.llm.words import PLAIN, list_words_of, words
 from tidelog.operators import skew
 from tidelog.operators.skew import SALT
 from tidelog.sources.shared import written
@@ -20,56 +20,88 @@ _PAGES = "doc_id long, _key long, _check long, _host long, kinds binary, listed
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _codes(found: list[str], kinds: np.ndarray) -> np.ndarray:
-    """A 64-bit code of each word, equal for all links, all tags and all numbers."""
-    import xxhash
+class Words:
+    """Numbers of words, in the order they are met, and 64-bit codes, equal for all links, all tags and all numbers."""
 
-    names = ["\1" if k == LINK else "\2" if k != PLAIN else "\3" if w.isdigit() else w for w, k in zip(found, kinds.tolist(), strict=True)]
-    return np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
+    def __init__(self, most: int = 1_000_000):
+        self.numbers: dict[str, int] = {}
+        self.codes: list[int] = []
+        self.most = most
 
+    def of(self, found: list[str]) -> list[int]:
+        import xxhash
 
-def phrases(found: list[str], kinds: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for w in found:
+            n = self.numbers.get(w)
+            if n is None:
+                n = self.numbers[w] = len(self.numbers)
+                self.codes.append(xxhash.xxh64_intdigest("\3" if w.isdigit() else w))
+            out.append(n)
+        return out
+
+    def full(self) -> bool:
+        return len(self.numbers) > self.most
+
+
+def phrases(code: np.ndarray, kinds: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of list words of the phrase that begins at each word; hash 0 where it is all links and tags."""
-    n = len(found) - PHRASE + 1
+    n = len(code) - PHRASE + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    code = _codes(found, kinds)
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
+        dense, plain = np.zeros(n, np.int32), np.zeros(n, np.int32)
         for i in range(PHRASE):
             h = h * _BASE + code[i : i + n]
             h = (h ^ (h >> np.uint64(31))) * _MIX
-    window = lambda x: np.convolve(x.astype(np.int32), np.ones(PHRASE, np.int32), "valid")
-    h[window(kinds == PLAIN) == 0] = 0
-    return h.view(np.int64), window(listed).astype(np.int32)
+            dense += listed[i : i + n]
+            plain += kinds[i : i + n] == PLAIN
+    h[plain == 0] = 0
+    return h.view(np.int64), dense
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word kinds, list words and phrases of each document, many documents at once."""
     import pyarrow as pa
 
     names = [x.split()[0] for x in _PAGES.split(", ")]
-    for batch in batches:
-        out: list[list] = [[] for _ in names]
-
-        def made() -> pa.RecordBatch:
-            types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+    known = Words()
+
+    def made(heads: list, numbers: list[int], kinds: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+        every, kind = np.array(numbers, np.int64), np.concatenate(kinds)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        listed = list_words_of(every, kind, doc)
+        h, dense = phrases(np.array(known.codes, np.uint64)[every], kind, listed)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        # phrases that would run into the next document are none
+        count = np.maximum(np.array(sizes) - PHRASE + 1, 0)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+        inside = np.repeat(starts - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[inside] if len(x) else x)) for x in (h, dense)]
+        raw = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (kind, listed)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), *raw, *lists], names)
 
-        held = 0
+    for batch in batches:
+        heads, numbers, kinds, sizes = [], [], [], []
         for *head, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found, kinds = words(text)
+            found, kind = words(text)
             if not found:
                 continue
-            listed = list_words(found, kinds)
-            h, dense = phrases(found, kinds, listed)
-            for column, x in zip(out, [*head, kinds.tobytes(), listed.tobytes(), h, dense], strict=True):
-                column.append(x)
-            held += len(found)
-            if held > 500_000:
-                yield made()
-                out, held = [[] for _ in names], 0
-        if out[0]:
-            yield made()
+            numbers += known.of(found)
+            heads.append(head)
+            kinds.append(kind)
+            sizes.append(len(found))
+            if len(numbers) > 400_000:
+                yield made(heads, numbers, kinds, sizes)
+                heads, numbers, kinds, sizes = [], [], [], []
+                if known.full():
+                    known = Words()
+        if heads:
+            yield made(heads, numbers, kinds, sizes)
+        if known.full():
+            known = Words()
 
 
 def stuffed(documents: DataFrame, host: str, share: float = 0.5, min_rows: int = skew.MIN_ROWS) -> DataFrame:

@@ -5,82 +5,117 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import numpy as np
+import regex
 
 #: Endings of bare host names that count as links even without a path.
-ENDINGS = "com net org info biz shop store site online xyz io example test invalid"
+ENDINGS = frozenset("com net org info biz shop store site online xyz io example test invalid".split())
 #: Kinds of a word.
 PLAIN, LINK, TAG = 0, 1, 2
+#: Stand-ins for a link and a tag, from the private area; texts lose their own.
+_LINK, _TAG = "", ""
 
-_ANCHOR = r"<a\b[^>]*>.*?</a\s*>"
-_MARKDOWN = r"\[[^\]\n]*\]\(\S*?\)"
-_ADDRESS = r"(?:h(?:tt|xx)ps?://|www\.)\S+"
-_HOST = rf"[\w-]+(?:\.[\w-]+)*\.(?:{'|'.join(ENDINGS.split())})\b(?:/\S*)?"
-_PATH = r"[\w-]+(?:\.[\w-]+)+/\S+"
-_TAG = r"(?:(?<![^\s(,;|>])[#@+$](?=[\w-]*[^\W\d_])|\btag:)[\w-]+(?![\w/+=-])"
-_WORD = r"[^\W_]+(?:['’][^\W_]+)*"
-#: Markup of pages is no word; anchors are taken before it.
-_TOKEN = re.compile(rf"(?P<link>{_ANCHOR}|{_MARKDOWN}|{_ADDRESS}|{_HOST}|{_PATH})|(?P<tag>{_TAG})|</?[a-z][^>]*>|(?P<word>{_WORD})", re.I | re.S)
+_OWN = re.compile(f"[{_LINK}{_TAG}]")
+_MARKS = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
+_TORN = re.compile(r"[ \t]+\.(?=[^\W_])")
+_SPECIAL = re.compile(
+    r"(?P<sure><a\b[^>]*>.*?</a\s*>|\[[^\]\n]*\]\(\S*?\)|(?<!\w)(?:h(?:tt|xx)ps?://|www\.)\S+)"
+    r"|(?P<host>(?<![\w.-])[\w-]++(?:\.[\w-]++)++(?:/\S*)?)"
+    r"|(?P<tag>(?:(?<![^\s(,;|>])[#@+$](?=[\w-]*[^\W\d_])|\btag:)[\w-]+(?![\w/+=-]))",
+    re.S,
+)
+_MARKUP = re.compile(r"</?[a-z][^>]*>")
+_DOT = re.compile(r"\.(?=[^\W\d_])")
+_WORD = re.compile(rf"[^\W_]+(?:['’][^\W_]+)*|{_LINK}|{_TAG}")
 
 
-_TORN = re.compile(r"[ \t]+\.(?=[^\W_])")
+def _stand_in(m: re.Match) -> str:
+    if m.lastgroup == "tag":
+        return f" {_TAG} "
+    if m.lastgroup == "host" and "/" not in (t := m.group()) and t.rpartition(".")[2] not in ENDINGS:
+        return t
+    return f" {_LINK} "
 
 
 def plain_letters(text: str) -> str:
     """The text without marks above and below letters and without invisible characters, in compatibility form."""
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
+
+
+def _may_hold_specials(text: str) -> bool:
+    """Whether a lower-case text holds anything a link, tag or markup needs; most don't."""
+    return any(c in text for c in "[<#@+$") or "://" in text or "tag:" in text or ("." in text and ("/" in text or bool(_DOT.search(text))))
 
 
 def words(text: str) -> tuple[list[str], np.ndarray]:
     """The words of a text, lower case and without a plural s, and their kinds; links and tags are one word each."""
-    found, kinds = [], []
-    for m in _TOKEN.finditer(_TORN.sub(".", plain_letters(html.unescape(text)))):
-        kind = m.lastgroup
-        if kind is None:
-            continue
-        w = m.group().lower()
-        found.append(w[:-1] if kind == "word" and len(w) > 3 and w.endswith("s") and w.isalpha() else w)
-        kinds.append(PLAIN if kind == "word" else LINK if kind == "link" else TAG)
-    return found, np.array(kinds, np.int8)
-
-
-def list_words(found: list[str], kinds: np.ndarray, reach: int = 35, near: int = 7, gap: int = 6, hole: int = 3) -> np.ndarray:
-    """For each word whether it stands in a list rather than in a sentence.
-
-    Links and tags do. A run of at most ``gap`` plain words between two links
-    or tags, or beside one at the end of a text, does. Other words do where at
-    least half of the words up to ``near`` away occur at least twice more
-    within ``reach`` words, and holes of at most ``hole`` words between such.
+    text = plain_letters(html.unescape(text)).lower()
+    if _LINK in text or _TAG in text:
+        text = _OWN.sub(" ", text)
+    if " ." in text or "\t." in text:
+        text = _TORN.sub(".", text)
+    if _may_hold_specials(text):
+        text = _SPECIAL.sub(_stand_in, text)
+        if "<" in text:
+            text = _MARKUP.sub(" ", text)
+    found = [w[:-1] if w[-1] == "s" and len(w) > 3 and w.isalpha() else w for w in _WORD.findall(text)]
+    kinds = np.zeros(len(found), np.int8)
+    if _LINK in text or _TAG in text:
+        kinds[:] = [LINK if w == _LINK else TAG if w == _TAG else PLAIN for w in found]
+    return found, kinds
+
+
+def _filled(mask: np.ndarray, doc: np.ndarray, most: int) -> np.ndarray:
+    """mask with holes of at most ``most`` between two marks of one document filled."""
+    marks = np.flatnonzero(mask)
+    if len(marks) < 2:
+        return mask
+    a, b = marks[:-1], marks[1:]
+    near = (b - a > 1) & (b - a <= most + 1) & (doc[a] == doc[b])
+    step = np.zeros(len(mask) + 1, np.int32)
+    np.add.at(step, a[near], 1)
+    np.add.at(step, b[near], -1)
+    return mask | (np.cumsum(step[:-1]) > 0)
+
+
+def list_words_of(codes: np.ndarray, kinds: np.ndarray, doc: np.ndarray, reach: int = 35, near: int = 7, gap: int = 6, hole: int = 3) -> np.ndarray:
+    """For each word of several documents, one after the other, whether it stands in a list rather than in a sentence.
+
+    codes: a number per different word; doc: ascending numbers of the
+    documents. Links and tags stand in lists. A run of at most ``gap`` plain
+    words between two links or tags does. Other words do, in documents of at
+    least six of them, where at least half of the words up to ``near`` away
+    occur at least twice more within ``reach`` words, and holes of at most
+    ``hole`` words between such.
     """
-    n = len(found)
-    out = kinds != PLAIN
-    if n == 0:
-        return out
-    marks = np.flatnonzero(out)
-    if len(marks) > 1:
-        for a, b in zip(marks[:-1], marks[1:], strict=True):
-            if 1 < b - a <= gap + 1:
-                out[a:b] = True
+    out = _filled(kinds != PLAIN, doc, gap)
     plain = np.flatnonzero(kinds == PLAIN)
     m = len(plain)
-    if m < 6:
+    if m == 0:
         return out
-    ids: dict[str, int] = {}
-    code = np.array([ids.setdefault(found[i], len(ids)) for i in plain])
-    order = np.lexsort((np.arange(m), code))
-    key = code[order] * np.int64(4 * (m + reach)) + order  # ascending; positions of one word stay together
+    own = doc[plain]
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    sizes = np.diff(np.append(starts, m))
+    first = np.repeat(starts, sizes)
+    last = np.repeat(starts + sizes, sizes)
+    at = np.arange(m)
+    # one number per (document, word), so that words of different documents never meet
+    _, word = np.unique(own.astype(np.int64) * (int(codes.max()) + 1) + codes[plain], return_inverse=True)
+    order = np.lexsort((at, word))
+    key = word[order] * np.int64(4 * (m + reach)) + order
     others = np.searchsorted(key, key + reach, "right") - np.searchsorted(key, key - reach, "left") - 1
     again = np.empty(m, bool)
     again[order] = others >= 2
     total = np.concatenate(([0], np.cumsum(again)))
-    at = np.arange(m)
-    lo, hi = np.maximum(at - near, 0), np.minimum(at + near + 1, m)
-    out[plain] |= 2 * (total[hi] - total[lo]) >= hi - lo
-    marks = np.flatnonzero(out)
-    for a, b in zip(marks[:-1], marks[1:], strict=True):
-        if 1 < b - a <= hole + 1:
-            out[a:b] = True
-    return out
+    lo, hi = np.maximum(at - near, first), np.minimum(at + near + 1, last)
+    out[plain] |= (2 * (total[hi] - total[lo]) >= hi - lo) & (last - first >= 6)
+    return _filled(out, doc, hole)
+
+
+def list_words(found: Sequence[str], kinds: np.ndarray, **how) -> np.ndarray:
+    """list_words_of for one document given by its words."""
+    ids: dict[str, int] = {}
+    codes = np.array([ids.setdefault(w, len(ids)) for w in found], np.int64)
+    return list_words_of(codes, kinds, np.zeros(len(found), np.int64), **how)
