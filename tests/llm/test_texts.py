@@ -176,8 +176,8 @@ def test_stuffed_pages(spark):
     rows = [(i, t, f"h{i % 4}") for i, t in enumerate(honest)] + [(100 + i, t, None if i == 2 else f"h{i % 5}") for i, t in enumerate(spammy())]
     rows += [(200, spammy()[0], "h1"), (200, spammy()[0], "h1"), (None, spammy()[0], "h1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, who string").selectExpr("*", "1 as kinds", "2 as phrase", "3 as _key")
-    for least in (10**9, 20):
-        assert {r[0] for r in spam.stuffed(df, "who", min_rows=least).collect()} == {200, *range(100, 107)}
+    for least, small in ((10**9, 10**6), (10**9, 0), (20, 0)):
+        assert {r[0] for r in spam.stuffed(df, "who", min_rows=least, small=small).collect()} == {200, *range(100, 107)}
     assert spam.stuffed(df.limit(0), "who").count() == 0
 
 
@@ -189,7 +189,8 @@ def test_a_sentence_said_again_and_again_is_no_list(spark):
     others = [f"{t} Also the {w} is far too thin for the price of one. {t}" for t, w in zip(TALK * 3, ["foam", "hinge", "lid", "cable", "strap", "zip"] * 2, strict=True)]
     rows = [(1, again, "h0"), *((10 + i, t, f"h{i}") for i, t in enumerate(others)), (2, spammy()[0], "h1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, who string")
-    assert {r[0] for r in spam.stuffed(df, "who").collect()} == {2}
+    for small in (10**6, 0):
+        assert {r[0] for r in spam.stuffed(df, "who", small=small).collect()} == {2}
 
 
 def test_words():

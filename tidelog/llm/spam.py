@@ -104,7 +104,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Words()
 
 
-def stuffed(documents: DataFrame, host: str, share: float = 0.5, min_rows: int = skew.MIN_ROWS) -> DataFrame:
+def stuffed(documents: DataFrame, host: str, share: float = 0.5, min_rows: int = skew.MIN_ROWS, small: int = 1_000_000) -> DataFrame:
     """doc_id of the documents more than ``share`` of whose words are links, tags or keywords strung together.
 
     documents: doc_id, text and the column ``host`` (who published it; a
@@ -136,8 +136,8 @@ def stuffed(documents: DataFrame, host: str, share: float = 0.5, min_rows: int =
     telling = written(spread.where((F.col("listed") >= LISTED) | (F.col("listed") <= SPOKEN)).select("phrase", (F.col("listed") >= LISTED).alias("list")), "phrases")
     # only what can change a word's standing has to meet the telling phrases
     open_ = said.select(*key, "at", "phrase", "dense")
-    of_lists = _meet(open_.where(F.col("dense") < PHRASE), telling.where("list"), min_rows)
-    of_talk = _meet(open_.where(F.col("dense") > 0), telling.where("not list"), min_rows)
+    of_lists = _meet(open_.where(F.col("dense") < PHRASE), telling.where("list"), min_rows, small)
+    of_talk = _meet(open_.where(F.col("dense") > 0), telling.where("not list"), min_rows, small)
     cover = lambda df, name: df.groupBy(*key).agg(F.collect_set("at").alias(name))
     judged = pages.select(*key, "kinds", "listed").join(cover(of_lists, "in_lists"), key, "left").join(cover(of_talk, "in_talk"), key, "left")
 
@@ -163,8 +163,15 @@ def word_share(kinds: np.ndarray, listed: np.ndarray, in_lists: list[int], in_ta
     return float(out.mean())
 
 
-def _meet(said: DataFrame, telling: DataFrame, min_rows: int) -> DataFrame:
-    """The rows of said whose phrase is among the telling ones; phrases said very often are salted."""
+def _meet(said: DataFrame, telling: DataFrame, min_rows: int, small: int = 1_000_000) -> DataFrame:
+    """The rows of said whose phrase is among the telling ones.
+
+    Up to ``small`` telling phrases (counted; 8 bytes each) are sent to every
+    task; more are met in a shuffle, with phrases said very often salted.
+    """
+    phrases = telling.select("phrase")
+    if phrases.limit(small + 1).count() <= small:
+        return said.join(F.broadcast(phrases), "phrase", "left_semi")
     (hot,) = skew.hot_groups(said, ["phrase"], min_rows=min_rows)
-    left, right = skew.salted(said, telling.select("phrase"), ["phrase"], hot, ["_key", "at"])
+    left, right = skew.salted(said, phrases, ["phrase"], hot, ["_key", "at"])
     return left.join(right, ["phrase", SALT], "left_semi").drop(SALT)
