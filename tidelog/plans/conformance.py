@@ -128,10 +128,10 @@ def round_trip(bundle: Bundle) -> DataFrame:
         if not props:
             continue
         cells = F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col(f"prop__{p}").cast("string").alias("_now")) for p, _ in props)))
-        records = bundle.table(f"records__{kind}").select("record_id", cells.alias("c")).select("record_id", "c.*").groupBy("record_id", "property").agg(F.collect_set("_now").alias("_now"), F.count_if(F.col("_now").isNull()).alias("_nulls"))
+        records = bundle.table(f"records__{kind}").select("record_id", cells.alias("c")).select("record_id", "c.*").groupBy("record_id", "property").agg(F.min("_now").alias("_least"), F.max("_now").alias("_most"), F.count_if(F.col("_now").isNull()).alias("_nulls"))
         joined = last.where(F.col("kind") == kind).join(records, ["record_id", "property"])
         value = F.col("_last.value")
-        agrees = F.when(value.isNull(), (F.col("_nulls") > 0) & (F.size("_now") == 0)).otherwise((F.col("_nulls") == 0) & (F.size("_now") == 1) & F.array_contains("_now", value))
+        agrees = F.when(value.isNull(), (F.col("_nulls") > 0) & F.col("_least").isNull()).otherwise((F.col("_nulls") == 0) & (F.col("_least") == value) & (F.col("_most") == value))
         one = joined.where(~agrees).select("kind", "record_id", "property")
         # a series whose record is gone
         lost = last.where(F.col("kind") == kind).join(bundle.table(f"records__{kind}").select("record_id").distinct(), "record_id", "left_anti").where(F.col("property").isin([p for p, _ in props]))
