@@ -217,3 +217,55 @@ def test_shares_of_the_documents(spark):
     for r in report.collect():
         reachable = min(r["quota"], r["tokens_available"] * r["max_repeats"])
         assert 0.95 * reachable - 500 <= r["tokens_used"] <= reachable
+
+
+PRODUCTS = {"en": "desk lamp/drill/office chair/kettle/tent/rain jacket/mattress/blender", "de": "Luftpumpe/Mixer/Zelt/Bürostuhl/Kaffeemühle/Bohrmaschine", "fr": "lampe de bureau/veste de pluie/poêle/sac à dos/tente/clavier", "es": "lámpara/taladro/colchón/mochila/batidora/sartén"}
+WORDS_FOR = {"en": "offer/original/buy/free shipping/2025/top/cheap", "de": "günstig/Vergleich/Rabatt/kaufen/versandkostenfrei", "fr": "en ligne/pas cher/livraison gratuite/soldes/avis", "es": "envío gratis/rebajas/oferta/comprar/precio"}
+
+
+def catalogue(lang, n, between, seed=0, code="{}{}-{}"):
+    rng = random.Random(seed)
+    letter = lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    one = lambda: f"{rng.choice(PRODUCTS[lang].split('/'))} {rng.choice(WORDS_FOR[lang].split('/'))} {code.format(letter(), letter(), rng.randrange(10, 10000))}".strip()
+    return between.join(one() for _ in range(n))
+
+
+def share(text):
+    return list_words(*words(text)).mean()
+
+
+@pytest.mark.parametrize("lang", sorted(PRODUCTS))
+@pytest.mark.parametrize("between", ["\n", " | ", " / ", " • ", " >> ", "\n- ", ", ", " "])
+def test_catalogues_are_lists(lang, between):
+    for seed in range(5):
+        text = catalogue(lang, 40, between, seed)
+        for x in (text, text.upper(), f"<p>{text}</p>", text.replace(" ", "  "), text.replace("-", "‑")):
+            assert share(x) > 0.9, x
+        assert share(catalogue(lang, 5, between, seed)) > 0.9
+        assert share(f"{TALK[0]}\n{text} {TALK[1]}") > 0.7
+        if between != " ":
+            assert share(catalogue(lang, 40, between, seed, "")) > 0.9
+        # few items beside many sentences stay few
+        assert share(" ".join(TALK) + "\n" + catalogue(lang, 6, between, seed)) < 0.5
+
+
+def test_codes_and_short_lines_of_honest_reviews_are_no_lists():
+    honest = [
+        "I compared the KC-3613 with the OO-3831, and the QV-9696 is quieter than the DW-1607 but it was not as sturdy as our old MS-1201.",
+        "Pros:\n- good handle\n- quiet motor\n- easy cleaning\n- long cable\n- fair price\nCons:\n- heavy lid\n- thin strap\n- loud click\n- slow delivery",
+        "Good value, fast delivery, nice colour, solid hinge, sturdy frame. " + TALK[0],
+        "Ich habe die Luftpumpe KC-3613 gekauft, und der Mixer OO-3831 war auch dabei. Die Bohrmaschine QV-9696 ist nach drei Tagen kaputt, das Zelt DW-1607 hat ein Loch.",
+        "We\nhave\nhad\nthe\nkettle\nsince\nmay\nand\nthe\nlid\nkeeps\nits\nshape\nalthough\nthe\nkettle\nis\nheavy",
+    ]
+    for x in honest:
+        assert share(x) <= 0.5, x
+    found, kinds = words(honest[0])
+    assert TAG not in kinds and found[3:5] == ["kc", "3613"]
+
+
+def test_catalogues_are_found_whole(spark):
+    rows = [(i, t, f"h{i}") for i, t in enumerate([*TALK, "Even my team likes the KC-3613 more than the OO-3831."])]
+    cases = [catalogue(lang, 30, between, 7) for lang in sorted(PRODUCTS) for between in ("\n", " | ")]
+    rows += [(100 + i, t, "h1") for i, t in enumerate([*cases, TALK[2] + "\n" + cases[0], cases[1] + " " + TALK[3]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, who string")
+    assert {r[0] for r in spam.stuffed(df, "who").collect()} == set(range(100, 110))

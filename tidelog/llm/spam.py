@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.words import PLAIN, list_words_of, words
+from tidelog.llm.words import LINK, TAG, list_words_of, words
 from tidelog.operators import skew
 from tidelog.operators.skew import SALT
 from tidelog.sources.shared import written
@@ -49,6 +49,7 @@ def phrases(code: np.ndarray, kinds: np.ndarray, listed: np.ndarray) -> tuple[np
     n = len(code) - PHRASE + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    special = (kinds == LINK) | (kinds == TAG)
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
         dense, plain = np.zeros(n, np.int32), np.zeros(n, np.int32)
@@ -56,7 +57,7 @@ def phrases(code: np.ndarray, kinds: np.ndarray, listed: np.ndarray) -> tuple[np
             h = h * _BASE + code[i : i + n]
             h = (h ^ (h >> np.uint64(31))) * _MIX
             dense += listed[i : i + n]
-            plain += kinds[i : i + n] == PLAIN
+            plain += ~special[i : i + n]
     h[plain == 0] = 0
     return h.view(np.int64), dense
 
@@ -159,7 +160,7 @@ def word_share(kinds: np.ndarray, listed: np.ndarray, in_lists: list[int], in_ta
         at = np.array(starts, np.int64)
         for i in range(PHRASE):
             out[at + i] = value
-    out |= kinds != PLAIN
+    out |= (kinds == LINK) | (kinds == TAG)
     return float(out.mean())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,8 +13,10 @@ import regex
 
 #: Endings of bare host names that count as links even without a path.
 ENDINGS = frozenset("com net org info biz shop store site online xyz io example test invalid".split())
-#: Kinds of a word.
-PLAIN, LINK, TAG = 0, 1, 2
+#: Kinds of a word; an item is a plain word of a catalogue.
+PLAIN, LINK, TAG, ITEM = 0, 1, 2, 3
+#: Words of an item at most; article codes, or without them items and their share of recurring words, that make a catalogue; words such a catalogue has at least.
+ITEM_WORDS, CODES, ITEMS, RECURRING, STRETCH = 6, 4, 8, 1 / 3, 8
 #: Stand-ins for a link and a tag, from the private area; texts lose their own.
 _LINK, _TAG = "", ""
 
@@ -29,6 +32,16 @@ _SPECIAL = re.compile(
 _MARKUP = re.compile(r"</?[a-z][^>]*>")
 _DOT = re.compile(r"\.(?=[^\W\d_])")
 _WORD = re.compile(rf"[^\W_]+(?:['’][^\W_]+)*|{_LINK}|{_TAG}")
+_CODE = r"(?<![\w-])[^\W\d_]{1,4}[-\u2010-\u2013]?\d{2,6}(?![\w-])"
+_PIECE = re.compile(rf"(?P<code>{_CODE})|(?P<word>{_WORD.pattern})|(?P<cut>[,;:.!?](?!\S)|[\n|/>»•·*→]|(?<!\S)[-–—](?!\S))")
+#: Words that make a sentence of what they stand in. Words that product names hold too (de, en, for, mit, pas) are none.
+_SENTENCE = """
+    i you he she it we they me him us them my your his her our their this that these those the an is are was were be been am has have had do does did will would can could should not and or but if because so than as at by from to who which what when where although while there
+    ich du er sie es wir ihr mich mir uns ihm ihn mein meine meinen meiner meinem unser unsere der die das den dem ein eine einen einem einer ist sind war waren hat habe haben hatte hatten wird werden wurde kann nicht und oder aber wenn weil dass als wie auch noch nach schon sich man bei
+    je tu il elle nous vous ils elles mon ma mes ton ta ses notre nos ce cet cette ces le la les un une est sont etait ont avait sera peut ne et ou mais si parce que qui quand comme au aux
+    yo ella nosotros ellos mi mis su sus nuestro nuestra este esta esto estos el los las uno una es son era fue ha he han habia puede y o pero porque cuando como se lo al
+    it's i'm i've i'd we've don't didn't doesn't isn't wasn't j'ai c'est n'a n'est qu'il qu'elle s'est m'a
+""".split()
 
 
 def _stand_in(m: re.Match) -> str:
@@ -44,13 +57,20 @@ def plain_letters(text: str) -> str:
     return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
 
 
+def _singular(w: str) -> str:
+    return w[:-1] if w[-1] == "s" and len(w) > 3 and w.isalpha() else w
+
+
+SENTENCE = frozenset(map(_singular, _SENTENCE))
+
+
 def _may_hold_specials(text: str) -> bool:
     """Whether a lower-case text holds anything a link, tag or markup needs; most don't."""
     return any(c in text for c in "[<#@+$") or "://" in text or "tag:" in text or ("." in text and ("/" in text or bool(_DOT.search(text))))
 
 
 def words(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a text, lower case and without a plural s, and their kinds; links and tags are one word each."""
+    """The words of a text, lower case and without a plural s, and their kinds; links, tags and the article codes of a catalogue are one word each."""
     text = plain_letters(html.unescape(text)).lower()
     if _LINK in text or _TAG in text:
         text = _OWN.sub(" ", text)
@@ -61,12 +81,99 @@ def words(text: str) -> tuple[list[str], np.ndarray]:
         if "<" in text:
             text = _MARKUP.sub(" ", text)
     found = [w[:-1] if w[-1] == "s" and len(w) > 3 and w.isalpha() else w for w in _WORD.findall(text)]
+    if _may_hold_catalogues(found) and (strung := _catalogues(text)):
+        return strung
     kinds = np.zeros(len(found), np.int8)
     if _LINK in text or _TAG in text:
         kinds[:] = [LINK if w == _LINK else TAG if w == _TAG else PLAIN for w in found]
     return found, kinds
 
 
+def _may_hold_catalogues(found: list[str]) -> bool:
+    """Whether some words between two of sentences are enough for a catalogue, with numbers or words met before; in most texts none are."""
+    ends = [-1, *(i for i, w in enumerate(found) if w in SENTENCE), len(found)]
+    for a, b in zip(ends, ends[1:], strict=False):
+        if b - a > STRETCH:
+            part = found[a + 1 : b]
+            # a third of eight words recur, so two at least are said before; a code ends with a digit
+            if len(part) - len(set(part)) >= 2 or sum(w[-1].isdigit() for w in part) >= CODES:
+                return True
+    return False
+
+
+def _catalogues(text: str) -> tuple[list[str], np.ndarray] | None:
+    """Words and kinds of a text that strings items together; None if it has no such part.
+
+    An item is at most ITEM_WORDS words between separators, article codes,
+    links and tags, none of which makes a sentence. A run of items is a
+    catalogue if it holds CODES article codes, or ITEMS items with a share
+    RECURRING of words that stand in another item of the run as well, however
+    far away. Its codes become tags and its other words items.
+    """
+    found: list[str] = []
+    kinds: list[int] = []
+    runs: list[tuple[list[tuple[int, int]], list[int]]] = []
+    items, codes, start = [], [], 0
+
+    def close() -> bool:
+        """End the item at hand; False if it can't be one."""
+        nonlocal start
+        a, start = start, len(found)
+        if a == start:
+            return True
+        if start - a > ITEM_WORDS or not SENTENCE.isdisjoint(found[a:start]):
+            return False
+        items.append((a, start))
+        return True
+
+    def end_run() -> None:
+        nonlocal items, codes
+        runs.append((items, codes))
+        items, codes = [], []
+
+    for m in _PIECE.finditer(text):
+        sort, w = m.lastgroup, m.group()
+        if sort == "word" and w not in (_LINK, _TAG):
+            found.append(_singular(w))
+            kinds.append(PLAIN)
+            continue
+        if not close():
+            end_run()
+        if sort != "cut":
+            if sort == "code":
+                codes.append(len(found))
+            found.append(w)
+            kinds.append(LINK if w == _LINK else TAG if w == _TAG else PLAIN)
+            start = len(found)
+    close()
+    end_run()
+    strung = set()
+    for items, codes in runs:
+        if len(codes) < CODES:
+            if len(items) < ITEMS:
+                continue
+            within = Counter(w for a, b in items for w in set(found[a:b]))
+            each = [within[w] > 1 for a, b in items for w in found[a:b]]
+            if sum(each) < RECURRING * len(each):
+                continue
+        for i in codes:
+            kinds[i] = TAG
+            found[i] = _TAG
+        for a, b in items:
+            kinds[a:b] = [ITEM] * (b - a)
+        strung.update(codes)
+        strung.update(a for a, _ in items)
+    if not strung:
+        return None
+    out, sorts = [], []
+    for w, k in zip(found, kinds, strict=True):
+        # a code outside a catalogue is what it was, its letters and its number
+        parts = [w] if k != PLAIN else [_singular(x) for x in _WORD.findall(w)]
+        out += parts
+        sorts += [k] * len(parts)
+    return out, np.array(sorts, np.int8)
+
+
 def _filled(mask: np.ndarray, doc: np.ndarray, most: int) -> np.ndarray:
     """mask with holes of at most ``most`` between two marks of one document filled."""
     marks = np.flatnonzero(mask)
@@ -84,7 +191,7 @@ def list_words_of(codes: np.ndarray, kinds: np.ndarray, doc: np.ndarray, reach:
     """For each word of several documents, one after the other, whether it stands in a list rather than in a sentence.
 
     codes: a number per different word; doc: ascending numbers of the
-    documents. Links and tags stand in lists. A run of at most ``gap`` plain
+    documents. Links, tags and items of catalogues stand in lists. A run of at most ``gap`` plain
     words between two links or tags does. Other words do, in documents of at
     least six of them, where at least half of the words up to ``near`` away
     occur at least twice more within ``reach`` words, and holes of at most
