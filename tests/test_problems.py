@@ -214,3 +214,15 @@ def test_empty_tables(spark, tmp_path, name):
     for t in ("history", "records__patient", "records__doctor", "records__queue", "membership__patient__visits", "membership_events", "export_windows", "export_meta"):
         spark.read.parquet(f"{source}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
     assert problems.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
+
+
+@pytest.mark.parametrize("arrivals", [[None] * 4, [None, 7, None, 9]])
+def test_waiting_lists_without_order_of_arrival(spark, tmp_path, arrivals):
+    """Deliveries without arrival_seq are the lowest version, not left out."""
+    from tidelog.plans import problems
+
+    rows = [("q", 1, 0, None, "a", 1), ("q", 2, None, " Join", "b", 2), ("q", 3, 2, "leave", "a", 3), ("r", 4, 0, "join", "a", 4)]
+    schema = "record_id string, event_sim_time long, event_class int, op string, member__patient__id string, change_id long, arrival_seq long"
+    spark.createDataFrame([(*r, a) for r, a in zip(rows, arrivals, strict=True)], schema).write.parquet(f"{tmp_path}/membership_events.parquet")
+    assert got(problems.p1_found(spark, str(tmp_path)), "*") == Counter([("q", "b", 2), ("r", "a", 4)])
+    assert got(problems.p1_queue_lengths(spark, str(tmp_path)), "*") == Counter([("q", 1), ("r", 1)])

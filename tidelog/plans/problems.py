@@ -27,6 +27,8 @@ def waiting_lists(spark: SparkSession, d: str, slices: int) -> cdc.BucketedTable
     files = max(2, n // buckets // FILE_ROWS)
     lists = cdc.BucketedTable(spark, fresh_folder(spark, "waiting-lists"), feed.schema, PLACE, "change_id", "arrival_seq", buckets, files=files)
     if first is None:
+        if n:  # no delivery has an arrival_seq
+            lists.apply(feed)
         return lists
     borders = [first + (last - first + 1) * i // slices for i in range(slices + 1)]
     for lo, hi in zip(borders, borders[1:], strict=False):
