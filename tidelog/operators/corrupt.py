@@ -588,6 +588,8 @@ def impacts(state: State, defects: DataFrame) -> DataFrame:
     marks.append(("C9", conformance.pins(now).distinct(), ["kind", "record_id"]))
     lost = conformance.intervals(now)
     marks.append(("C10", lost.select("table", "record_id").distinct(), ["table", "record_id"]))
+    if (strange := conformance.undeclared(now)) is not None:
+        marks.append(("C12", strange.select("table", "record_id").distinct(), ["table", "record_id"]))
     out = defects.withColumn("impact", F.array().cast("array<string>"))
     for code, frame, keys in marks:
         named = frame.withColumn("_hit", F.lit(True))
@@ -600,6 +602,8 @@ def impacts(state: State, defects: DataFrame) -> DataFrame:
         else:
             out = out.join(named, keys, "left")
         relevant = F.coalesce("_hit", F.lit(False))
+        if code == "C12":  # other cells of the record have no part in it
+            relevant &= F.col("column").isNull() | (F.col("column") == "prop__actor_type")
         out = out.withColumn("impact", F.when(relevant, F.array_append("impact", code)).otherwise(F.col("impact"))).drop("_hit")
     members = lost.where("member is not null").select(F.col("member").alias("record_id")).distinct().withColumn("_hit", F.lit(True))
     out = out.join(members, "record_id", "left")
