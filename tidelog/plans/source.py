@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, InvalidOperation
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tidelog.operators import kernels, temporal
 from tidelog.plans.common import Anchor, Notice, Planned, Sink, Window, reserved
 from tidelog.plans.config import EventLog, EventSource, Export, SourceTable
 from tidelog.plans.election import Election, claim, elect, guard, identities, translate
-from tidelog.sources.bundle import Bundle, BundleError
+from tidelog.sources.bundle import Bundle, BundleError, filtered, spark_type
 
 EVENTS = {"c": "create", "u": "update", "d": "destroy"}
 
@@ -189,9 +191,8 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
 def membership_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[str, str]) -> DataFrame:
     ref = s.membership
     events = temporal.membership_events(bundle, ref.kind, ref.property)
-    if s.where:
-        events = events.where(" and ".join(f"`{k}` = '{v}'" for k, v in s.where.items()))
     table = bundle.sidecar.membership(ref.kind, ref.property)
+    events = filtered(events, s.where, table)
     parts = []
     for c in table.columns:
         if c.role not in ("element", "member"):
@@ -208,15 +209,42 @@ def membership_arm(bundle: Bundle, s: EventSource, election: Election, labels: d
     return events.select(F.lit(s.item_type or f"{labels.get(ref.kind, ref.kind)}.{ref.property}").alias("item_type"), F.col("_shown").cast("string").alias("item_id"), F.when(F.col("op") == "join", EVENTS["c"]).otherwise(EVENTS["d"]).alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
 
 
+def typed_values(value, declared: str) -> set:
+    """The values of a selection as their column's type tells them apart."""
+    def one(v):
+        if spark_type(declared) == "string":
+            return str(v)
+        try:
+            return Decimal(str(int(v) if isinstance(v, bool) else v).strip())
+        except InvalidOperation:
+            return {"t": 1, "true": 1, "y": 1, "yes": 1, "f": 0, "false": 0, "n": 0, "no": 0}.get(str(v).strip().lower(), str(v))
+
+    return {one(v) for v in (value if isinstance(value, (list, tuple)) else [value])}
+
+
+def refuse_overlaps(bundle: Bundle, sources: list[EventSource]) -> None:
+    """Refuse two sources of one kind or membership that share a sub-type, unless a common where column has disjoint values."""
+    def scope(s: EventSource) -> tuple:
+        if s.kind:
+            return (s.kind, None), set(populations(bundle, s.kind, s.sub_types) or [None]), bundle.sidecar.records(s.kind)
+        return (s.membership.kind, s.membership.property), {None}, bundle.sidecar.membership(s.membership.kind, s.membership.property)
+
+    for i, a in enumerate(sources):
+        space, held, table = scope(a)
+        for j, b in enumerate(sources[:i]):
+            other, also, _ = scope(b)
+            if space != other or held.isdisjoint(also):
+                continue
+            common = [c for c in a.where or {} if c in (b.where or {}) and table.column(c) is not None]
+            if not any(typed_values(a.where[c], table.column(c).type).isdisjoint(typed_values(b.where[c], table.column(c).type)) for c in common):
+                raise BundleError("events", f"sources {j} and {i} cover the same rows")
+
+
 def event_log(bundle: Bundle, log: EventLog, election: Election, anchor: Anchor, window: Window | None, labels: dict[str, str], keys: bool) -> Planned:
     """One audit log over all sources, its id dense in the order of the tape; numbered before a window is cut out, so ids never change."""
-    seen: dict[tuple, int] = {}
+    refuse_overlaps(bundle, log.sources)
     arms = None
-    for i, s in enumerate(log.sources):
-        what = (s.kind, tuple(s.sub_types or ()), str(sorted((s.where or {}).items()))) if s.kind else (s.membership.kind, s.membership.property)
-        if what in seen:
-            raise BundleError("events", f"sources {seen[what]} and {i} cover the same rows")
-        seen[what] = i
+    for s in log.sources:
         arm = (record_arm if s.kind else membership_arm)(bundle, s, election, labels)
         arms = arm if arms is None else arms.unionByName(arm)
     numbered = kernels.dense_sequence(arms, ["sim_time", "item_type", "op_class", "_rid", "changes"], "id")
