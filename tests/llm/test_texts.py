@@ -6,6 +6,7 @@ import base64
 import itertools
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 
 from tests.oracle import connect, difference
 from tidelog.llm import formatting, mixing, queries, spam, tokenizer
-from tidelog.llm.words import LINK, TAG, list_words, words
+from tidelog.llm.words import LINK, TAG, page, tokens
 
 PATH = f"{tokenizer.FOLDER}/{tokenizer.VOCABULARY}"
 ODD = ["", " ", "\n\n x", "<|endoftext|>", "\0\1", "a" * 20_000, "é" * 3000, "👨‍👩‍👧🔥", "é", "​﻿", "ℌ𝔢llo", "it's We'LL", "１２３ ½", "العربية 中文 ไทย", "\r\n\t  end "]
@@ -181,22 +182,76 @@ def test_stuffed_pages(spark):
     assert spam.stuffed(df.limit(0), "who").count() == 0
 
 
+def test_form_alone_makes_no_case(spark):
+    """A list whose phrases no other host's lists hold is none; with three hosts it is, whatever the order of its words."""
+    one = " ".join(random.Random(5).choices(["sofa", "cheap", "buy", "deal"], k=80))
+    rows = [(i, t, f"h{i}") for i, t in enumerate(TALK)] + [(10 + i, one, "h9") for i in range(5)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string, who string")
+    assert spam.stuffed(frame(rows), "who").count() == 0
+    mixed = [" ".join(random.Random(9 + i).choices(["sofa", "cheap", "buy", "deal"], k=80)) for i in range(2)]
+    assert {r[0] for r in spam.stuffed(frame([*rows, (20, mixed[0], "h8"), (21, mixed[1], "h7")]), "who").collect()} == {*range(10, 15), 20, 21}
+
+
 def test_a_sentence_said_again_and_again_is_no_list(spark):
-    """Its words repeat like keywords, but the phrase is known from sentences of other hosts."""
+    """Its words repeat like keywords, but its phrases are known from sentences of other hosts."""
     again = "The foam is far too thin for the price. " * 2 + "The hinge is far too thin for the price. " * 2 + "The lid is far too thin for the price."
-    found, kinds = words(again)
-    assert list_words(found, kinds).mean() > 0.5
-    others = [f"{t} Also the {w} is far too thin for the price of one. {t}" for t, w in zip(TALK * 3, ["foam", "hinge", "lid", "cable", "strap", "zip"] * 2, strict=True)]
-    rows = [(1, again, "h0"), *((10 + i, t, f"h{i}") for i, t in enumerate(others)), (2, spammy()[0], "h1")]
+    assert page(again).listed.mean() > 0.5
+    parts = ["foam", "hinge", "lid", "cable", "strap", "zip"]
+    others = [f"{t} Also, the {w} is far too thin for the price of one. {t}" for t, w in zip(TALK * 3, parts * 2, strict=True)]
+    others += [f"{t} But the {w} is far too thin for the price. {u}" for w in parts[:3] for t, u in itertools.pairwise(TALK)]
+    words = ["kettle", "cheap", "buy", "deal"]
+    lists = [(200 + i, " ".join(random.Random(i).choices(words, k=60)), f"h{i}") for i in range(3)]
+    # the sentence stands in lists of three hosts as well
+    rows = [*((1 + i, again, f"h{i}") for i in range(3)), *((10 + i, t, f"h{i}") for i, t in enumerate(others)), *lists]
     df = spark.createDataFrame(rows, "doc_id long, text string, who string")
     for small in (10**6, 0):
-        assert {r[0] for r in spam.stuffed(df, "who", small=small).collect()} == {2}
-
-
-def test_words():
-    found, kinds = words('See [a kettle](https://x.test/a) or <a href="http://y.test">two words</a> <br> www.z.test/1 kettle.shop.example #tag_One tag:Two it&#39;s Kettles')
-    assert found[-2:] == ["it's", "kettle"] and kinds.tolist().count(LINK) == 4 and kinds.tolist().count(TAG) == 2
-    assert words("")[0] == [] and list_words(*words("")).tolist() == []
+        assert {r[0] for r in spam.stuffed(df, "who", small=small).collect()} == {200, 201, 202}
+
+
+def test_tokens():
+    text = 'See [a kettle](https://x.test/a) or <a href="http://y.test">two words</a> <br> www.z.test/1 kettle.shop.example #tag_One tag:Two it&#39;s 3.50 end.Then z.B. Kettles'
+    p = page(text)
+    assert p.kind.tolist().count(LINK) == 4 and p.kind.tolist().count(TAG) == 2 and tokens(text)[-1] == "kettles" and "then" in tokens(text)
+    assert page("kettle Kettles").word.tolist() == [0, 0] and len(page("").kind) == 0 and len(page(" .,;").kind) == 0
+    assert page("desk lamp KC-3613 / tent, x").begins.tolist() == [True, False, False, True, True]
+
+
+def brute_phrases(text):
+    """Sets of words of all phrases, with how many words each has, straight from the definition."""
+    p, out = page(text), []
+    starts = [*(i for i, b in enumerate(p.begins) if b), len(p.begins)]
+    for a, b in itertools.pairwise(starts):
+        out += [(i, min(5, b - a)) for i in range(a, max(b - 4, a + 1))]
+    out += [(i, 2) for i in range(len(p.listed) - 1) if p.listed[i] and p.listed[i + 1]]
+    return sorted((i, frozenset(p.code[i : i + n].tolist())) for i, n in out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "cc", "#t", "http://x.test", "AB-123", "77", ".", ",", "|", "\n"]), max_size=40))
+def test_phrases_are_sets_of_words(parts):
+    p = page(" ".join(parts))
+    if not len(p.kind):
+        return
+    at, h, _ = spam.phrases(p)
+    want = brute_phrases(" ".join(parts))
+    assert sorted(at.tolist()) == [i for i, _ in want]
+    _, size, _ = spam.windows(p.begins, p.listed, p.doc)
+    got = {}
+    for i, n, x in zip(at, size, h.tolist(), strict=True):
+        words = frozenset(p.code[i : i + n].tolist())
+        special = all(k in (LINK, TAG) for k in p.kind[i : i + n])
+        assert (x == 0) == special
+        if not special:
+            assert got.setdefault(words, x) == x
+    assert len(set(got.values())) == len(got)
+
+
+@pytest.mark.parametrize("piece", ["<a x>", "<a ", "[", "[a](", "[a](b", "<a>b<", "#_", "www", "a.", " ", "-", "<", "&lt;", "x ", ";"])
+def test_time_is_linear(piece):
+    """A megabyte of unclosed marks takes no longer than one of words."""
+    began = time.perf_counter()
+    page(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 15
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -231,7 +286,7 @@ def catalogue(lang, n, between, seed=0, code="{}{}-{}"):
 
 
 def share(text):
-    return list_words(*words(text)).mean()
+    return page(text).listed.mean()
 
 
 @pytest.mark.parametrize("lang", sorted(PRODUCTS))
@@ -249,23 +304,27 @@ def test_catalogues_are_lists(lang, between):
         assert share(" ".join(TALK) + "\n" + catalogue(lang, 6, between, seed)) < 0.5
 
 
-def test_codes_and_short_lines_of_honest_reviews_are_no_lists():
+def test_codes_and_short_lines_of_honest_reviews_are_no_lists(spark):
     honest = [
+        "Last year I compared the old KC-3613 we had with the newer OO-3831 of a friend, and so far the QV-9696 is quieter.",
         "I compared the KC-3613 with the OO-3831, and the QV-9696 is quieter than the DW-1607 but it was not as sturdy as our old MS-1201.",
         "Pros:\n- good handle\n- quiet motor\n- easy cleaning\n- long cable\n- fair price\nCons:\n- heavy lid\n- thin strap\n- loud click\n- slow delivery",
         "Good value, fast delivery, nice colour, solid hinge, sturdy frame. " + TALK[0],
         "Ich habe die Luftpumpe KC-3613 gekauft, und der Mixer OO-3831 war auch dabei. Die Bohrmaschine QV-9696 ist nach drei Tagen kaputt, das Zelt DW-1607 hat ein Loch.",
         "We\nhave\nhad\nthe\nkettle\nsince\nmay\nand\nthe\nlid\nkeeps\nits\nshape\nalthough\nthe\nkettle\nis\nheavy",
     ]
-    for x in honest:
-        assert share(x) <= 0.5, x
-    found, kinds = words(honest[0])
-    assert TAG not in kinds and found[3:5] == ["kc", "3613"]
+    assert sum(share(x) > 0.5 for x in honest) <= 1  # the second looks like a list by form; nobody else's list holds its phrases
+    lists = [(50 + i, catalogue("en", 30, " ", i), f"h{i}") for i in range(5)]
+    rows = [*((i, t, f"h{i}") for i, t in enumerate([*honest, *TALK])), *lists]
+    assert {r[0] for r in spam.stuffed(spark.createDataFrame(rows, "doc_id long, text string, who string"), "who").collect()} == set(range(50, 55))
 
 
 def test_catalogues_are_found_whole(spark):
+    """Each item is another product with another code; what recurs on other hosts are the items without their codes."""
     rows = [(i, t, f"h{i}") for i, t in enumerate([*TALK, "Even my team likes the KC-3613 more than the OO-3831."])]
-    cases = [catalogue(lang, 30, between, 7) for lang in sorted(PRODUCTS) for between in ("\n", " | ")]
-    rows += [(100 + i, t, "h1") for i, t in enumerate([*cases, TALK[2] + "\n" + cases[0], cases[1] + " " + TALK[3]])]
+    cases = [catalogue(lang, 30, between, seed) for lang in sorted(PRODUCTS) for seed, between in enumerate(("\n", " | ", " / ", ", "))]
+    mixed = [TALK[2] + "\n" + cases[0], cases[1] + " " + TALK[3]]
+    half = [" ".join(TALK * 2) + " " + catalogue("en", 8, " | ", 3)]
+    rows += [(100 + i, t, f"h{i % 7}") for i, t in enumerate([*cases, *mixed])] + [(300, half[0], "h2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, who string")
-    assert {r[0] for r in spam.stuffed(df, "who").collect()} == set(range(100, 110))
+    assert {r[0] for r in spam.stuffed(df, "who").collect()} == set(range(100, 118))
