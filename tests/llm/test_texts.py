@@ -313,7 +313,7 @@ def test_codes_and_short_lines_of_honest_reviews_are_no_lists(spark):
         "Ich habe die Luftpumpe KC-3613 gekauft, und der Mixer OO-3831 war auch dabei. Die Bohrmaschine QV-9696 ist nach drei Tagen kaputt, das Zelt DW-1607 hat ein Loch.",
         "We\nhave\nhad\nthe\nkettle\nsince\nmay\nand\nthe\nlid\nkeeps\nits\nshape\nalthough\nthe\nkettle\nis\nheavy",
     ]
-    assert sum(share(x) > 0.5 for x in honest) <= 1  # the second looks like a list by form; nobody else's list holds its phrases
+    assert sum(share(x) > 0.5 for x in honest) == 2  # those with many codes look like lists by form; nobody else's list holds their phrases
     lists = [(50 + i, catalogue("en", 30, " ", i), f"h{i}") for i in range(5)]
     rows = [*((i, t, f"h{i}") for i, t in enumerate([*honest, *TALK])), *lists]
     assert {r[0] for r in spam.stuffed(spark.createDataFrame(rows, "doc_id long, text string, who string"), "who").collect()} == set(range(50, 55))

@@ -18,7 +18,7 @@ from tidelog.sources.shared import written
 PHRASE, HOSTS, BACKED = 5, 3, 0.5
 #: Bits of a word: link or tag, in a list, first of its segment.
 SPECIAL, LISTED, BEGINS = 1, 2, 4
-_PAGES = "doc_id long, _key long, _check long, _host long, bits binary, phrases array<long>, dense array<boolean>"
+_PAGES = "doc_id long, _key long, _check long, _host long, bits binary, likely int, phrases array<long>, dense array<boolean>"
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -77,8 +77,9 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = pa.array([bits[a:b].tobytes() for a, b in zip(ends - page.sizes, ends, strict=True)], pa.binary())
         each = np.bincount(page.doc[at], minlength=len(sizes)) if len(at) else np.zeros(len(sizes), np.int64)
         offsets = pa.array(np.concatenate(([0], np.cumsum(each))), pa.int32())
+        likely = pa.array(np.bincount(page.doc[special | page.listed], minlength=len(sizes)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, dense)]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), raw, *lists], names)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), raw, likely, *lists], names)
 
     for batch in batches:
         heads, numbers, sizes = [], [], []
@@ -131,11 +132,14 @@ def stuffed(documents: DataFrame, host: str, share: float = 0.5, backed: float =
     per_host = said.groupBy("phrase", "_host").agg(F.avg(F.col("dense").cast("int")).cast("float").alias("dense"))
     spread = per_host.groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts"), F.avg("dense").alias("listed")).where(F.col("hosts") >= HOSTS)
     telling = written(spread.select("phrase", (F.col("listed") > 0.5).alias("list")), "phrases")
-    # a phrase of sentences matters only where its words look like a list
     cover = lambda df, name: df.groupBy(*key).agg(F.collect_set("at").alias(name))
     of_lists = cover(_meet(said, telling.where("list"), min_rows, small), "in_lists")
-    of_talk = cover(_meet(said, telling.where("not list"), min_rows, small), "in_talk")
-    judged = pages.select(*key, "bits").join(of_lists, key, "left").join(of_talk, key, "left")
+    # words that count are list words or lie in list phrases; few pages have enough of them, and only those have to meet the phrases of sentences
+    most = F.col("likely") + PHRASE * F.coalesce(F.array_size("in_lists"), F.lit(0))
+    able = written(pages.drop("_host", "dense", "in_lists").join(of_lists, key, "left").where(most > share * F.length("bits")), "able")
+    again = able.select(*key, F.posexplode("phrases").alias("at", "phrase")).where("phrase != 0")
+    of_talk = cover(_meet(again, telling.where("not list"), min_rows, small), "in_talk")
+    judged = able.select(*key, "bits", "in_lists").join(of_talk, key, "left")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +166,8 @@ def stitched(bits: np.ndarray, in_lists: list[int], in_talk: list[int], backed:
     n = len(bits)
     lists, talk = np.asarray(in_lists, np.int64), np.asarray(in_talk, np.int64)
     pair = paired[lists]
+    # a shorter segment is too little to tell a sentence by
+    talk = talk[size[talk] == PHRASE]
     spoken = _covered(n, at[talk], size[talk])
     # pairs are taken from lists only, so what is known from sentences outweighs them
     sure = ((bits & SPECIAL) > 0) | _covered(n, at[lists[~pair]], size[lists[~pair]]) | (_covered(n, at[lists[pair]], size[lists[pair]]) & ~spoken)
