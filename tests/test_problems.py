@@ -143,28 +143,70 @@ def test_changes_in_batches(spark, batches):
         rows.append((maybe(rng, rng.choice("ab"), 0.03), maybe(rng, rng.choice("xyz"), 0.03), maybe(rng, rng.randrange(60), 0.03), maybe(rng, rng.choice([0, 1, 2]), 0.05), maybe(rng, change, 0.02), i))
     rng.shuffle(rows)
     data = frame(spark, rows, SCHEMA)
-    table = cdc.BucketedTable(spark, fresh_folder(spark, "t"), spark.createDataFrame([], SCHEMA).schema, ["q", "p"], "change_id", "arrival_seq", 5)
+    table = cdc.BucketedTable(spark, fresh_folder(spark, "t"), spark.createDataFrame([], SCHEMA).schema, ["q", "p"], "change_id", "arrival_seq", buckets=5)
     for b in range(batches):
         table.apply(data.where(f"pmod(arrival_seq * 7, {batches}) = {b}"))
-    assert {tuple(r) for r in cdc.open_places(table.read(), ["q", "p"]).collect()} == places(rows)
+    assert {tuple(r) for r in table.read().collect()} == places(rows)
     # the same deliveries again change nothing, and a batch touches only its own buckets
-    before = table.manifests.latest()["buckets"]
+    before = table.manifests.latest()["changes"]
     one = data.where("change_id is not null and q is not null and p is not null").limit(1)
     now = table.apply(one)
-    assert {tuple(r) for r in cdc.open_places(table.read(), ["q", "p"]).collect()} == places(rows)
-    assert len([k for k in before if now["buckets"].get(k) != before[k]]) <= 2
+    assert {tuple(r) for r in table.read().collect()} == places(rows)
+    assert len([k for k in before if now["changes"].get(k) != before[k]]) <= 2
+    table.expire()
+    assert {tuple(r) for r in table.read().collect()} == places(rows)
+
+
+def test_only_touched_buckets_are_read_and_written(spark):
+    """A batch that names one bucket reads and writes that one; the index is read only where the batch's changes hash to."""
+    schema = spark.createDataFrame([], SCHEMA).schema
+    table = cdc.BucketedTable(spark, fresh_folder(spark, "t"), schema, ["q", "p"], "change_id", "arrival_seq", buckets=64)
+    rows = [("q", f"p{i}", i, 0, i, i) for i in range(400)]
+    before = table.apply(spark.createDataFrame(rows, SCHEMA))
+    assert len(before["touched"]) > 50
+    read, files = [], table._files
+    table._files = lambda what, s, buckets=None: (read.append((what, None if buckets is None else sorted(buckets))), files(what, s, buckets))[1]
+    now = table.apply(spark.createDataFrame([("q", "p7", 500, 2, 900, 900)], SCHEMA))
+    (bucket,) = now["touched"]
+    assert dict(read)["changes"] == [bucket] and len(dict(read)["homes"]) == 1 and len(read) == 2
+    for what in ("changes", "rows"):
+        assert {k for k in before[what] if now[what].get(k) != before[what][k]} == {str(bucket)}
+    assert len(table.changes([bucket]).inputFiles()) < 8 and table.read().count() == 399
+    # a delivery that corrects the key takes the change out of its old bucket; an older one does nothing
+    table.apply(spark.createDataFrame([("q", "other", 7, 0, 3, 950), ("q", "p5", 9, 1, 4, 2)], SCHEMA))
+    state = {(r["p"], r["change_id"]) for r in table.read().collect()}
+    assert ("other", 3) in state and ("p3", 3) not in state and ("p4", 4) in state and ("p5", 4) not in state
+
+
+def test_of_two_racing_publishers_one_wins(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidelog.sources.shared import Manifests
+
+    m = Manifests(spark, fresh_folder(spark, "race"))
+    m.publish({"by": -1}, 0)
+
+    def run(i):
+        try:
+            return m.publish({"by": i}, 1)["by"]
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(run, range(24)) if x is not None]
+    assert len(won) == 1 and m.latest() == {"by": won[0], "version": 2}
 
 
 def test_a_failed_batch_leaves_the_table(spark):
-    table = cdc.BucketedTable(spark, fresh_folder(spark, "t"), spark.createDataFrame([], SCHEMA).schema, ["q", "p"], "change_id", "arrival_seq", 3)
+    table = cdc.BucketedTable(spark, fresh_folder(spark, "t"), spark.createDataFrame([], SCHEMA).schema, ["q", "p"], "change_id", "arrival_seq", buckets=3)
     table.apply(spark.createDataFrame([("a", "x", 1, 0, 1, 1)], SCHEMA))
     publish, table.manifests.publish = table.manifests.publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
         table.apply(spark.createDataFrame([("a", "x", 2, 2, 2, 2)], SCHEMA))
-    assert cdc.open_places(table.read(), ["q", "p"]).count() == 1
+    assert table.read().count() == 1
     table.manifests.publish = publish
     table.apply(spark.createDataFrame([("a", "x", 2, 2, 2, 2)], SCHEMA))
-    assert cdc.open_places(table.read(), ["q", "p"]).count() == 0
+    assert table.read().count() == 0
     with pytest.raises(RuntimeError):
         table.manifests.publish({}, 0)  # somebody else published that version
 

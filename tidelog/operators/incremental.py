@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidelog.functions.numbers import floor_div
 from tidelog.operators.skew import broadcast_if_small
-from tidelog.sources.shared import Manifests
+from tidelog.sources.shared import Manifests, new_name
 
 
 def key_text(value: Column | str, most: int = 32) -> Column:
@@ -62,8 +62,8 @@ class Target:
     def publish(self, rows: DataFrame) -> DataFrame:
         """Add rows as one new version; returns them as read from it."""
         now = self.manifests.latest()
-        part = f"{self.path}/data/v{now['version'] + 1:08d}-{self.spark.sparkContext.applicationId}"
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(part)
+        part = f"{self.path}/data/{new_name(now['version'] + 1)}"
+        rows.select(*self.schema.names).write.parquet(part)
         self.manifests.publish({"parts": [*now.get("parts", []), part]}, now["version"])
         return self.spark.read.schema(self.schema).parquet(part)
 

@@ -25,7 +25,7 @@ def waiting_lists(spark: SparkSession, d: str, slices: int) -> cdc.BucketedTable
     first, last, n = feed.agg(F.min("arrival_seq"), F.max("arrival_seq"), F.count(F.lit(1))).first()
     buckets = max(8, min(MOST_BUCKETS, n // BUCKET_ROWS))
     files = max(2, n // buckets // FILE_ROWS)
-    lists = cdc.BucketedTable(spark, fresh_folder(spark, "waiting-lists"), feed.schema, PLACE, "change_id", "arrival_seq", buckets, files=files)
+    lists = cdc.BucketedTable(spark, fresh_folder(spark, "waiting-lists"), feed.schema, PLACE, "change_id", "arrival_seq", buckets=buckets, files=files)
     if first is None:
         if n:  # no delivery has an arrival_seq
             lists.apply(feed)
@@ -38,13 +38,12 @@ def waiting_lists(spark: SparkSession, d: str, slices: int) -> cdc.BucketedTable
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return cdc.open_places(waiting_lists(spark, d, 2).read(), PLACE).select(*PLACE, "change_id")
+    return waiting_lists(spark, d, 2).read().select(*PLACE, "change_id")
 
 
 def p1_queue_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Patients waiting per queue, from the table after one batch."""
-    places = cdc.open_places(waiting_lists(spark, d, 1).read(), PLACE)
-    return places.groupBy("record_id").agg(F.count(F.lit(1)).alias("waiting"))
+    return waiting_lists(spark, d, 1).read().groupBy("record_id").agg(F.count(F.lit(1)).alias("waiting"))
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +19,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder named by spark.checkpoint.dir; where it is unset in local mode (tests), a new local one. A cluster must name one."""
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set(SETTING, root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,7 +64,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Manifests:
     """Numbered JSON manifests beside a table's files.
 
-    A version exists from the moment its manifest is renamed into place.
+    A version exists from the moment its manifest is put in place, which
+    fails if the version is there already: of two runs that race for a version
+    one wins and the other starts again from what the winner published.
     Files of a run that failed before are never named by a manifest, so
     readers never see them and the next run simply starts again from the last
     version.
@@ -93,12 +99,39 @@ class Manifests:
     def publish(self, content: dict, base: int) -> dict:
         """Make content version base + 1. Fails if another run published that version first."""
         version, place = base + 1, self._place(base + 1)
-        if self._fs.exists(place):
-            raise RuntimeError(f"version {version} of {self.path} exists; another run published it")
         draft = self._hadoop.Path(f"{self.path}/_manifests/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(content | {"version": version}, sort_keys=True).encode()))
         out.close()
-        if not self._fs.rename(draft, place):
-            raise RuntimeError(f"version {version} of {self.path} could not be published")
+        try:
+            self._put(draft, place)
+        except Exception as x:
+            raise RuntimeError(f"version {version} of {self.path} could not be published; another run may have done so") from x
+        finally:
+            self._fs.delete(draft, False)
         return content | {"version": version}
+
+    def _put(self, draft, place) -> None:
+        """Give the draft its final name in one step that fails if the name is taken."""
+        if self._fs.getUri().getScheme() == "file":  # renaming would replace the other run's file
+            os.link(*(unquote(urlparse(p.toUri().toString()).path) for p in (draft, place)))
+            return
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kinds = jvm.org.apache.hadoop.fs.Options.Rename
+        never = gateway.new_array(kinds, 1)
+        never[0] = kinds.NONE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(draft, place, never)
+
+    def drop(self, path: str) -> None:
+        """Delete a folder that no manifest in use names."""
+        self._fs.delete(self._hadoop.Path(path), True)
+
+    def folders(self, path: str) -> list[str]:
+        """The folders in a folder, as full paths without scheme for local ones; none if it isn't there."""
+        place = self._hadoop.Path(path)
+        return [f"{path}/{x.getPath().getName()}" for x in self._fs.listStatus(place)] if self._fs.exists(place) else []
+
+
+def new_name(version: int) -> str:
+    """A folder name for a version's files that no other run uses."""
+    return f"v{version:08d}-{uuid.uuid4().hex[:12]}"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.plans.common import Notice, Planned, Sink, Window, require_unique
 from tidelog.sources.bundle import Bundle, BundleError, Column, Sidecar, declared_type
-from tidelog.sources.shared import Manifests
+from tidelog.sources.shared import Manifests, new_name
 
 
 def checked(table: Planned) -> Planned:
@@ -97,8 +97,8 @@ class Warehouse:
             raise BundleError("cursor", f"window {window.label} is there already")
         held = {k: list(v) for k, v in now.get("tables", {}).items()}
         for t in tables:
-            place = f"{self.path}/data/{t.name}/{window.label}-{self.spark.sparkContext.applicationId}"
-            checked(t).frame.write.mode("overwrite").parquet(place)
+            place = f"{self.path}/data/{t.name}/{window.label}-{new_name(now['version'] + 1)}"
+            checked(t).frame.write.parquet(place)
             held[t.name] = [*held.get(t.name, []), place] if t.mode == "append" else [place]
         following = now.get("next", 0) if window.index is None else window.index + 1
         self.manifests.publish({"tables": held, "next": following, "fingerprint": fingerprint, "windows": [*now.get("windows", []), window.label]}, now["version"])
