@@ -39,7 +39,7 @@ def last_known(events: DataFrame, changes: DataFrame, min_rows: int = skew.MIN_R
     out = rows.withColumn("_found", F.max("_best").over(along)).where(F.col("_side") == 1)
     if hot:
         earlier = skew.carried(rows, key, {"_earlier": F.max("_best")}, {"_earlier": F.max})
-        out = skew.join_carried(out, key, earlier).withColumn("_found", F.greatest("_found", "_earlier"))
+        out = skew.join_carried(out, key, earlier, skew.few(hot, min_rows)).withColumn("_found", F.greatest("_found", "_earlier"))
     return out.where(F.col("_found").isNotNull()).select("event_seq", F.col("_found.row_seq").alias("change_seq"), F.col("_found.value").alias("value"))
 
 

@@ -46,7 +46,7 @@ def versions(history: DataFrame, ends: DataFrame, min_rows: int = skew.MIN_ROWS)
             {"_before": F.max_by(F.struct(F.xxhash64("value").alias("h"), F.col("value")), F.struct("sim_time", "row_seq"))},
             {"_before": lambda c: F.last(c, ignorenulls=True)},
         )
-        settled = skew.join_carried(settled, key, last).withColumn("_was", F.coalesce("_was", "_before")).drop("_before")
+        settled = skew.join_carried(settled, key, last, skew.few(hot_key, min_rows)).withColumn("_was", F.coalesce("_was", "_before")).drop("_before")
     changed = F.col("_was").isNull() | (F.col("_v.h") != F.col("_was.h")) | ~F.col("_v.value").eqNullSafe(F.col("_was.value"))
     island = F.sum(F.when(changed, 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0))
     # island 0 of a block goes on from the block before
@@ -56,5 +56,5 @@ def versions(history: DataFrame, ends: DataFrame, min_rows: int = skew.MIN_ROWS)
     out = starts.withColumn("_to", following)
     if hot_key:
         later = skew.carried(starts, key, {"_later": F.min("valid_from")}, {"_later": F.min}, backwards=True)
-        out = skew.join_carried(out, key, later).withColumn("_to", F.coalesce("_to", "_later"))
+        out = skew.join_carried(out, key, later, skew.few(hot_key, min_rows)).withColumn("_to", F.coalesce("_to", "_later"))
     return out.select(*key, "valid_from", F.coalesce("_to", "_end", F.lit(OPEN)).alias("valid_to"), "value")

@@ -33,12 +33,12 @@ def periods_and_gaps(intervals: DataFrame, min_rows: int = skew.MIN_ROWS) -> Dat
     marked = rows.withColumn("_reach", F.max("end_ns").over(along.rowsBetween(Window.unboundedPreceding, -1)))
     if hot:
         reach = skew.carried(rows, key, {"_before": F.max("end_ns")}, {"_before": F.max})
-        marked = skew.join_carried(marked, key, reach).withColumn("_reach", F.greatest("_reach", "_before")).drop("_before")
+        marked = skew.join_carried(marked, key, reach, skew.few(hot, min_rows)).withColumn("_reach", F.greatest("_reach", "_before")).drop("_before")
     marked = marked.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start_ns") > F.col("_reach")), 1).otherwise(0))
     labelled = marked.withColumn("_island", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     if hot:
         count = skew.carried(marked, key, {"_done": F.sum("_opens")}, {"_done": F.sum})
-        labelled = skew.join_carried(labelled, key, count).withColumn("_island", F.col("_island") + F.coalesce("_done", F.lit(0)))
+        labelled = skew.join_carried(labelled, key, count, skew.few(hot, min_rows)).withColumn("_island", F.col("_island") + F.coalesce("_done", F.lit(0)))
     # the opening row knows the hole before its period; each period is one group
     islands = labelled.groupBy("record_id", "_island").agg(F.min("start_ns").alias("_s"), F.max("end_ns").alias("_e"), F.min(F.when(F.col("_opens") == 1, F.col("_reach"))).alias("_hole"))
     period = F.struct(F.lit("period").alias("span"), F.col("_s").alias("start_ns"), F.col("_e").alias("end_ns"))

@@ -12,12 +12,13 @@ from tidelog.operators.skew import BLOCK
 from tidelog.sources.shared import written
 
 
-def fill_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], min_rows: int = skew.MIN_ROWS) -> DataFrame:
+def fill_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], min_rows: int | None = None) -> DataFrame:
     """rows with each column (a struct, so null values inside it survive) replaced by its last non-null one up to the row.
 
     order[0] is a number; rows equal in it stay together. Keys with very many
     rows are cut into blocks along it.
     """
+    min_rows = skew.MIN_ROWS if min_rows is None else min_rows
     (hot,) = skew.hot_groups(rows, keys, min_rows=min_rows)
     rows = skew.with_blocks(rows, keys, order[0], hot, min_rows)
     along = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -26,12 +27,52 @@ def fill_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column
         at = F.struct(*order)
         made = {f"_p_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), at)) for c in columns}
         before = skew.carried(rows, keys, made, {n: lambda x: F.last(x, ignorenulls=True) for n in made})
-        out = skew.join_carried(out, keys, before)
+        out = skew.join_carried(out, keys, before, skew.few(hot, min_rows))
         out = out.withColumns({c: F.coalesce(c, f"_p_{c}") for c in columns}).drop(*made)
     return out.drop(BLOCK)
 
 
-def as_of(probes: DataFrame, time: str, changes: DataFrame, change_time: str, on: Sequence[str], values: Sequence[str], strict: bool = False, inner: bool = False, min_rows: int = skew.MIN_ROWS) -> DataFrame:
+def along_groups(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], by: str, leads: dict[str, str] | None = None, lags: dict[str, str] | None = None, sums: dict[str, str] | None = None, number: str | None = None, min_rows: int | None = None,
+) -> DataFrame:
+    """rows with values of their neighbours in a total order per group: new name to the column whose next, previous or running value it is.
+
+    ``number`` names a column for the row's place in its group, from 1.
+    Null values are values. ``by`` is the first column of the order (a number
+    or time, nulls first); groups with very many rows are cut into blocks along it, and what a
+    block needs of its neighbours is carried in one row per block.
+    """
+    leads, lags, sums = leads or {}, lags or {}, sums or {}
+    min_rows = skew.MIN_ROWS if min_rows is None else min_rows
+    (hot,) = skew.hot_groups(rows, keys, min_rows=min_rows)
+    rows = skew.with_blocks(rows, keys, by, hot, min_rows)
+    along = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    made = {n: F.lead(F.struct(F.col(c).alias("v"))).over(along) for n, c in leads.items()}
+    made |= {n: F.lag(F.struct(F.col(c).alias("v"))).over(along) for n, c in lags.items()}
+    made |= {n: F.sum(c).over(upto) for n, c in sums.items()}
+    if number or hot:
+        made["_at"] = F.row_number().over(along)
+    out = rows.withColumns(made)
+    if hot:
+        # the first and last rows of the blocks are found by their places, so any order will do
+        edge = lambda c, best: best(F.struct("_at", F.struct(F.col(c).alias("v")).alias("s")))
+        last = {f"_b_{n}": edge(c, F.max) for n, c in lags.items()} | {f"_b_{n}": F.sum(c) for n, c in sums.items()} | ({"_b_at": F.count(F.lit(1))} if number else {})
+        merge = {n: (lambda x: F.last(x, ignorenulls=True)) for n in last if n[3:] in lags} | {n: F.sum for n in last if n[3:] not in lags}
+        small = skew.few(hot, min_rows)
+        if last:
+            out = skew.join_carried(out, keys, skew.carried(out, keys, last, merge), small)
+        if leads:
+            first = {f"_a_{n}": edge(c, F.min) for n, c in leads.items()}
+            out = skew.join_carried(out, keys, skew.carried(out, keys, first, {n: (lambda x: F.last(x, ignorenulls=True)) for n in first}, backwards=True), small)
+        fixed = {n: F.coalesce(n, f"_a_{n}.s") for n in leads} | {n: F.coalesce(n, f"_b_{n}.s") for n in lags}
+        fixed |= {n: F.coalesce(F.col(f"_b_{n}") + F.col(n), n, f"_b_{n}") for n in sums} | ({"_at": F.col("_at") + F.coalesce("_b_at", F.lit(0))} if number else {})
+        out = out.withColumns(fixed).drop(*(f"_a_{n}" for n in leads), *(f"_b_{n}" for n in (*lags, *sums)), "_b_at")
+    out = out.withColumns({n: F.col(f"{n}.v") for n in (*leads, *lags)})
+    return (out.withColumnRenamed("_at", number) if number else out.drop("_at")).drop(BLOCK)
+
+
+def as_of(probes: DataFrame, time: str, changes: DataFrame, change_time: str, on: Sequence[str], values: Sequence[str], strict: bool = False, inner: bool = False, min_rows: int | None = None) -> DataFrame:
     """Each probe with the ``values`` of the last change of its key at or before its time (before it, if strict).
 
     Null values are values. Of changes at one time that with the greatest
@@ -82,38 +123,43 @@ def dense_sequence(rows: DataFrame, order: Sequence[str], name: str, start: int
     return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + start).drop("__part", "__before", "__at")
 
 
-def containing(probes: DataFrame, time: str, intervals: DataFrame, on: Sequence[str], start: str, end: str, pick: Sequence[str], cell: int, min_rows: int = 1_000) -> DataFrame:
+def containing(probes: DataFrame, time: str, intervals: DataFrame, on: Sequence[str], start: str, end: str, pick: Sequence[str], min_rows: int | None = None) -> DataFrame:
     """Each probe with the interval of its key that contains its time, [start, end), null end open: the latest start, then the smallest pick.
 
-    Keys with few intervals are joined by key alone. The intervals of keys
-    with more than min_rows are cut into cells of ``cell``, so their probes
-    meet only those of one cell; intervals over more than 64 cells and open
-    ones meet all probes of their key. A probe without an interval, without
-    time or with a null key has nulls; equal probes are kept apart.
+    Intervals that never end are met by an ordering of starts and probes. The
+    others are sorted into levels by the power of two that holds their length
+    and into cells of that size, at most two each, so a probe meets, per level
+    there is, only intervals of its key that reach into its cell and fill at
+    least half of it; cells with very many probes are salted. A probe without
+    an interval, without time or with a null key has nulls; equal probes are
+    kept apart.
     """
-    last = 2**63 - 1
+    last, min_rows = 2**63 - 1, skew.MIN_ROWS if min_rows is None else min_rows
     numbered = probes.withColumn("__id", F.monotonically_increasing_id())
     numbered = written(numbered, "probes")  # so that an id means the same row in every branch
-    spans = intervals.select(*on, F.col(start).alias("__s"), F.coalesce(end, F.lit(last)).alias("__e"), F.struct(*pick).alias("__pick")).where("__e > __s")
-    (hot,) = skew.hot_groups(spans, on, min_rows=min_rows)
-    inside = (F.col("__s") <= F.col(time)) & (F.col(time) < F.col("__e"))
-    known = numbered.select("__id", *on, time)
-    found = known.join(spans.where(~skew.is_hot(on, hot)), list(on)).where(inside).select("__id", "__s", "__pick")
-    if hot:
-        floor = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(cell))
-        busy = spans.where(skew.is_hot(on, hot))
-        short = (F.col("__e") < last) & (floor("__e") - floor("__s") <= 64 * cell)
-        cut = busy.where(short).withColumn("__upto", F.col("__e") - 1)
-        cut = cut.withColumn("__cell", F.explode(F.sequence(floor("__s"), floor("__upto"), F.lit(cell))))
-        probing = known.where(skew.is_hot(on, hot))
-        here = probing.withColumn("__cell", floor(time)).join(cut, [*on, "__cell"]).where(inside)
-        there = probing.join(busy.where(~short), list(on)).where(inside)
-        for part in (here, there):
-            found = found.unionByName(part.select("__id", "__s", "__pick"))
-    # max of the start, then min of the pick, in one aggregation over structs ordered by the start alone
-    starts = found.groupBy("__id", "__s").agg(F.min("__pick").alias("__pick"))
-    best = starts.groupBy("__id").agg(F.max_by("__pick", "__s").alias("__pick"))
-    return numbered.join(best, "__id", "left").select(*probes.columns, *(F.col(f"__pick.{p}").alias(p) for p in pick))
+    # the complement of the start falls as it rises, so the latest start and then the smallest pick are one minimum
+    best = F.struct(F.bitwise_not("__s").alias("__back"), *(F.col(p) for p in pick)).alias("__best")
+    spans = intervals.select(*on, F.col(start).cast("long").alias("__s"), F.coalesce(F.col(end).cast("long"), F.lit(last)).alias("__e"), *pick)
+    spans = spans.where(" and ".join(["__e > __s", *(f"`{c}` is not null" for c in on)])).select(*on, "__s", "__e", best)
+    known = numbered.where(" and ".join(f"`{c}` is not null" for c in (*on, time))).select("__id", *on, F.col(time).cast("long").alias("__t"))
+
+    ended = spans.where(F.col("__e") < last).withColumn("__level", F.coalesce(F.length(F.bin(F.expr("try_subtract(__e, __s)") - 1)), F.lit(63)))
+    levels = sorted(r[0] for r in ended.select("__level").distinct().collect())  # at most 64 numbers
+    cell = lambda c: F.expr(f"shiftright({c}, __level)")
+    cut = ended.withColumn("__cell", F.explode(F.array_distinct(F.array(cell("__s"), cell("(__e - 1)")))))
+    spread = known.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__cell", cell("__t"))
+    at = [*on, "__level", "__cell"]
+    (hot,) = skew.hot_groups(spread, at, min_rows=min_rows) if levels else ({},)
+    left, right = skew.salted(spread, cut, at, hot, ["__id"])
+    found = left.join(right, [*at, skew.SALT]).where("__s <= __t and __t < __e").select("__id", "__best")
+
+    # of the intervals that never end, the last to begin; one row per start
+    opened = spans.where(F.col("__e") == last).groupBy(*on, F.col("__s").alias("__t")).agg(F.min("__best").alias("__best"))
+    asked = known.select(*on, "__t", F.lit(1).alias("__side"), F.lit(None).cast(spans.schema["__best"].dataType).alias("__best"), "__id")
+    both = opened.select(*on, "__t", F.lit(0).alias("__side"), "__best", F.lit(None).cast("long").alias("__id")).unionByName(asked)
+    begun = fill_last(both, on, ["__t", "__side"], ["__best"], min_rows).where("__id is not null and __best is not null").select("__id", "__best")
+    winner = found.unionByName(begun).groupBy("__id").agg(F.min("__best").alias("__best"))
+    return numbered.join(winner, "__id", "left").select(*probes.columns, *(F.col(f"__best.{p}").alias(p) for p in pick))
 
 
 def smallest(units: DataFrame, order: str, k: int, ties: Sequence[str] = (), fine: int = 50_000) -> DataFrame:

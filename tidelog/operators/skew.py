@@ -10,12 +10,15 @@ per block. Results don't depend on what is hot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_ROWS, MAX_HOT, MOST_BLOCKS, SKETCHES = 500_000, 5_000, 2_000, 64
+#: Bytes of input a task reads, about; rows of a frame that may be sent to every task.
+TASK_BYTES, SMALL = 128 << 20, 100_000
 BLOCK, SALT = "_blk", "_salt"
 
 
@@ -27,16 +30,23 @@ def hot_groups(df: DataFrame, *key_sets: Sequence[str], min_rows: int = MIN_ROWS
     """For each set of keys the hash and about the rows of each hot group, from one pass with mergeable sketches.
 
     A sketch errs by at most 3.5 / 2**16 of all rows at 8 * max_hot tracked
-    keys, so every group above the threshold is in it. The tasks' sketches
-    are merged in SKETCHES groups and these into one, so no task merges those
-    of all tasks; at most max_hot pairs of numbers a set reach the driver. An
-    empty table has no hot groups.
+    keys, so every group above the threshold is in it. The tasks' sketches are
+    merged in a tree whose fan-in is about the square root of the number of
+    tasks, so no task merges those of all; at most max_hot pairs of numbers a
+    set reach the driver. An empty table has no hot groups.
     """
     tracked, sets = 8 * max_hot, range(len(key_sets))
     hashes = [key_hash(keys).alias(f"h{i}") for i, keys in enumerate(key_sets)]
-    rows = df.select(*hashes, F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
-    each = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"approx_top_k_accumulate(h{i}, {tracked})").alias(f"s{i}") for i in sets))
-    merged = each.withColumn("all", F.lit(0)).groupBy("all").agg(F.sum("n").alias("n"), *(F.expr(f"approx_top_k_combine(s{i}, {tracked})").alias(f"s{i}") for i in sets))
+    fan = max(SKETCHES, math.isqrt(_tasks(df)))
+    merged = df.select(*hashes, F.pmod(F.spark_partition_id(), F.lit(fan)).alias("part"))
+    made = [F.expr(f"approx_top_k_accumulate(h{i}, {tracked})").alias(f"s{i}") for i in sets]
+    merged = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *made)
+    while True:
+        fan = fan // SKETCHES if fan > SKETCHES else 1
+        joined = [F.expr(f"approx_top_k_combine(s{i}, {tracked})").alias(f"s{i}") for i in sets]
+        merged = merged.withColumn("part", F.pmod("part", F.lit(fan))).groupBy("part").agg(F.sum("n").alias("n"), *joined)
+        if fan == 1:
+            break
     row = merged.select("n", *(F.expr(f"approx_top_k_estimate(s{i}, {max_hot})").alias(f"k{i}") for i in sets)).first()
     if row is None:
         return [{} for _ in sets]
@@ -44,6 +54,21 @@ def hot_groups(df: DataFrame, *key_sets: Sequence[str], min_rows: int = MIN_ROWS
     return [{x["item"]: x["count"] for x in row[f"k{i}"] or [] if x["count"] > least} for i in sets]
 
 
+def _tasks(df: DataFrame) -> int:
+    """About how many tasks read df, from the optimizer's estimate of its size; no job runs."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return min(10_000_000, int(str(size)) // TASK_BYTES + 1)
+
+
+def blocks_of(rows: int, min_rows: int) -> int:
+    return max(2, min(MOST_BLOCKS, -(-rows // min_rows)))
+
+
+def few(hot: dict[int, int], min_rows: int) -> bool:
+    """Whether all blocks of the hot groups together are few enough to be sent to every task."""
+    return sum(blocks_of(n, min_rows) for n in hot.values()) <= SMALL
+
+
 def is_hot(keys: Sequence[str], hot: dict[int, int]) -> Column:
     return key_hash(keys).isin(list(hot)) if hot else F.lit(False)
 
@@ -52,19 +77,19 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: str, hot: dict[int, i
     """df with BLOCK: 0, or for rows of hot groups 1, 2, ... along ``order`` (numbers, not null).
 
     Rows equal in ``order`` are in one block. The borders are approximate
-    quantiles of the group, found with partial aggregation.
+    quantiles of the group, found with partial aggregation; a group has as
+    many blocks as its own size asks for. Rows without ``order`` are in block 1.
     """
     if not hot:
         return df.withColumn(BLOCK, F.lit(0))
-    parts = max(2, min(MOST_BLOCKS, -(-max(hot.values()) // min_rows)))
+    parts = blocks_of(max(hot.values()), min_rows)
     grid = [i / parts for i in range(1, parts)]
-    borders = (
-        df.where(is_hot(keys, hot))
-        .groupBy(key_hash(keys).alias("_h"))
-        .agg(F.array_sort(F.array_distinct(F.percentile_approx(order, grid, 20 * parts))).alias("_borders"))
-    )
+    made = df.where(is_hot(keys, hot)).groupBy(key_hash(keys).alias("_h")).agg(F.percentile_approx(order, grid, 20 * parts).alias("_all"), F.count(F.lit(1)).alias("_n"))
+    own = F.greatest(F.lit(2), F.ceil(F.col("_n") / F.lit(min_rows)))
+    made = made.withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(parts) / own)).cast("int"))
+    borders = made.select("_h", F.expr("array_sort(array_distinct(filter(_all, (x, i) -> (i + 1) % _step = 0)))").alias("_borders"))
     hashed = df.withColumn("_h", F.when(is_hot(keys, hot), key_hash(keys)))
-    at = F.expr(f"1 + size(filter(_borders, x -> x < `{order}`))")
+    at = F.expr(f"1 + array_size(filter(_borders, x -> x < `{order}`))")
     return hashed.join(F.broadcast(borders), "_h", "left").withColumn(BLOCK, F.when(F.col("_borders").isNull(), 0).otherwise(at)).drop("_h", "_borders")
 
 
@@ -81,12 +106,16 @@ def carried(blocks: DataFrame, keys: Sequence[str], made: dict[str, Column], ove
     return each.select(*keys, BLOCK, *(over[n](F.col(n)).over(before).alias(n) for n in made))
 
 
-def join_carried(df: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
-    """df with the columns of carry, null for groups that are not hot."""
+def join_carried(df: DataFrame, keys: Sequence[str], carry: DataFrame, small: bool) -> DataFrame:
+    """df with the columns of carry, null for groups that are not hot.
+
+    small: whether carry, one row per block, may be sent to every task (see
+    few). If not, it is joined by key and block, as df is partitioned already.
+    """
     names = [c for c in carry.columns if c not in (*keys, BLOCK)]
     right = carry.select(*(F.col(k).alias(f"_c_{k}") for k in (*keys, BLOCK)), *names)
     on = [df[k].eqNullSafe(right[f"_c_{k}"]) for k in (*keys, BLOCK)]
-    return df.join(F.broadcast(right), on, "left").drop(*(f"_c_{k}" for k in (*keys, BLOCK)))
+    return df.join(F.broadcast(right) if small else right, on, "left").drop(*(f"_c_{k}" for k in (*keys, BLOCK)))
 
 
 def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: dict[int, int], by: Sequence[str | Column], salts: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -101,6 +130,6 @@ def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: dict[int
     return left.withColumn(SALT, spread), right.withColumn(SALT, F.explode(copies))
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_rows: int = SMALL) -> DataFrame:
     """df, marked for broadcast only if a count finds at most most_rows rows."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import kernels
@@ -40,8 +40,8 @@ def versions(bundle: Bundle, kind: str, properties: Sequence[str] | None = None,
     filled = kernels.fill_last(wide, ["record_id"], ["sim_time"], [f"_p_{p}" for p in properties])
     if set(properties) - set(scope):
         filled = filled.where(" or ".join(f"`_p_{p}` is not null" for p in scope))
-    end = F.lead("sim_time").over(Window.partitionBy("record_id").orderBy("sim_time"))
-    return filled.select("record_id", F.col("sim_time").alias("version_start"), end.alias("version_end"), *(F.col(f"_p_{p}.value").alias(p) for p in properties))
+    ended = kernels.along_groups(filled, ["record_id"], ["sim_time"], "sim_time", leads={"_end": "sim_time"})
+    return ended.select("record_id", F.col("sim_time").alias("version_start"), F.col("_end").alias("version_end"), *(F.col(f"_p_{p}.value").alias(p) for p in properties))
 
 
 def latest_values(bundle: Bundle, kind: str, properties: Sequence[str], horizon: int | None, inclusive: bool = False) -> DataFrame:
@@ -164,8 +164,8 @@ def truncated(bundle: Bundle, horizon: int) -> Bundle:
 def occupancy(bundle: Bundle, kind: str, prop: str) -> DataFrame:
     """For each owner and each instant at which an interval begins or ends, how many are then open. Edges are summed, never paired."""
     edges = membership_events(bundle, kind, prop).groupBy("record_id", "sim_time").agg(F.sum(F.when(F.col("op") == "join", 1).otherwise(-1)).alias("_net"))
-    running = F.sum("_net").over(Window.partitionBy("record_id").orderBy("sim_time").rowsBetween(Window.unboundedPreceding, 0))
-    return edges.select("record_id", "sim_time", running.alias("open"))
+    running = kernels.along_groups(edges, ["record_id"], ["sim_time"], "sim_time", sums={"open": "_net"})
+    return running.select("record_id", "sim_time", "open")
 
 
 def anchored(ns: Column | str, origin: str, zone: str = "UTC") -> Column:

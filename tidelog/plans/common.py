@@ -27,16 +27,26 @@ def reserved(name: str) -> bool:
 
 @dataclass
 class Planned:
-    """One output table: a lazy frame and how it is written."""
+    """One output table: a lazy frame, or a function that makes it when it is first asked for, and how it is written."""
 
     name: str
-    frame: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     mode: str = "replace"
     primary: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
     view: Callable[[DataFrame], DataFrame] | None = None
     view_name: str | None = None
 
+    @property
+    def deferred(self) -> bool:
+        return callable(self.source)
+
+    @property
+    def frame(self) -> DataFrame:
+        if self.deferred:
+            self.source = self.source()
+        return self.source
+
 
 @dataclass(frozen=True)
 class Notice:

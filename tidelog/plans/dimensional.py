@@ -15,8 +15,6 @@ from tidelog.plans.election import Election, claim, elect, guard, translate
 from tidelog.sources.bundle import Bundle, BundleError, Sidecar, condition
 
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600}
-#: Cells of point-in-time membership joins: one day.
-CELL = 86_400_000_000_000
 
 
 def paths(sidecar: Sidecar, start: str, goal: str) -> list[list[str]]:
@@ -86,8 +84,8 @@ class TableBuilder:
             if c.mode == "derived" and c.derived.mode == "ordinal":
                 o = c.derived.ordinal
                 ties = [F.col(n).asc_nulls_first() for n in self.source_table().names() if n in made.columns]
-                along = W.partitionBy(out[o.partition_by]).orderBy(out[o.order_by].asc_nulls_last(), F.col("record_id"), *ties)
-                out[c.name] = F.row_number().over(along)
+                made = numbered(made, out[o.partition_by], out[o.order_by], [F.col("record_id"), *ties], f"_nth_{c.name}")
+                out[c.name] = F.col(f"_nth_{c.name}")
         mode, view, name = "replace", None, t.name
         # the filter of the window follows the numbering, so numbers are the same in every window
         selected = made.select(*(c.alias(n) for n, c in out.items()), F.col(key).alias("_window_key"))
@@ -195,7 +193,7 @@ class TableBuilder:
             raise BundleError("grain", f"{g.kind}.{prop} is not tracked")
         rows = self.bundle.history(g.kind, [prop])
         if g.grain == "history_interval":
-            rows = rows.withColumn("lead_sim_time", F.lead("sim_time").over(W.partitionBy("record_id").orderBy("sim_time", F.col("value").asc_nulls_first())))
+            rows = kernels.along_groups(rows, ["record_id"], ["sim_time", F.col("value").asc_nulls_first()], "sim_time", leads={"lead_sim_time": "sim_time"})
         if g.value is not None:
             rows = rows.where(condition("value", g.value, "VARCHAR"))
         return rows, "sim_time"
@@ -316,17 +314,31 @@ class TableBuilder:
             else:
                 rows = rows.withColumn("_member", F.col("record_id"))
             edges = edges.withColumnsRenamed({"joined_sim_time": "_from", "left_sim_time": "_until"})
-            return kernels.containing(rows, fk.as_of, edges, ["_member"], "_from", "_until", [alias], CELL).drop("_member")
+            return kernels.containing(rows, fk.as_of, edges, ["_member"], "_from", "_until", [alias]).drop("_member")
         edges = edges.where(F.col(kind_col) == goal).select(F.col("record_id").alias("_owner"), F.col(id_col).alias(alias))
         return rows.join(edges, rows["record_id"] == edges["_owner"], "left").drop("_owner")
 
 
+def numbered(rows: DataFrame, group: Column, order: Column, ties: list[Column], name: str) -> DataFrame:
+    """rows with their place per group in an order, nulls last; groups with very many rows are cut along it where it is a number or a time."""
+    placed = rows.withColumns({"_g": group, "_o": order})
+    kind = dict(placed.dtypes)["_o"]
+    if kind in ("string", "boolean", "binary"):  # nothing to cut along
+        return placed.withColumn(name, F.row_number().over(W.partitionBy("_g").orderBy(F.col("_o").asc_nulls_last(), *ties))).drop("_g", "_o")
+    # rows without order come after all others of their group: they are numbered by themselves and moved behind
+    parts = placed.withColumn("_none", F.col("_o").isNull())
+    known = kernels.along_groups(parts, ["_g", "_none"], ["_o", *ties], "_o", number=name)
+    before = parts.where(~F.col("_none")).groupBy("_g").agg(F.count(F.lit(1)).alias("_before")).withColumnRenamed("_g", "_h")
+    late = known.where("_none").join(before, F.col("_g").eqNullSafe(F.col("_h")), "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+    return known.where(~F.col("_none")).unionByName(late.drop("_h", "_before")).drop("_g", "_o", "_none")
+
+
 def version_view(identity: list[str], start: str, ends: list[str], order: list[str]):
     """A view over appended version rows that supplies the end: the next start of the same identity."""
 
     def view(rows: DataFrame) -> DataFrame:
-        following = F.lead(start).over(W.partitionBy(*identity).orderBy("__valid_from_ns"))
-        return rows.withColumns({e: following for e in ends}).select(*order)
+        following = kernels.along_groups(rows, identity, ["__valid_from_ns"], "__valid_from_ns", leads={"_following": start})
+        return following.withColumns({e: F.col("_following") for e in ends}).select(*order)
 
     return view
 

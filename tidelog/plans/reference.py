@@ -131,7 +131,7 @@ def join_holder_at(spark: SparkSession, d: str) -> DataFrame:
     """The order that holds a part at a moment: of overlapping lines the latest, then the smallest id."""
     lines = sales(spark, d).membership("order", "lines").select(F.col("member__part__id").alias("part"), F.col("record_id").alias("holder"), "joined_sim_time", "left_sim_time")
     probes = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("part"), (F.lit(100_000_000_000_000_000) + F.col("p_partkey") * 1_000_000_000).alias("at"))
-    return kernels.containing(probes, "at", lines, ["part"], "joined_sim_time", "left_sim_time", ["holder"], 30 * 86_400_000_000_000)
+    return kernels.containing(probes, "at", lines, ["part"], "joined_sim_time", "left_sim_time", ["holder"])
 
 
 _STAR = {
@@ -454,7 +454,7 @@ def str_membership_events(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_ROWEVENTS} SELECT 'people' AS topic, count(*) AS events FROM imaged")
 def str_topic_counts(spark: SparkSession, d: str) -> DataFrame:
     c = config.streams(_STREAMS)
-    return ev.topic_counts(ev.events(clinic(spark, d), c), c)
+    return ev.topic_counts(ev.merged(clinic(spark, d), c), c)
 
 
 @query(f"WITH {_ROWEVENTS}, {_SEQ} SELECT seq, op, record_id FROM seqd WHERE sim_time >= {LO} AND sim_time < {HI}")

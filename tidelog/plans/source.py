@@ -5,7 +5,6 @@ from __future__ import annotations
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.operators import kernels, temporal
@@ -59,7 +58,7 @@ def plan(bundle: Bundle, export: Export, anchor: Anchor | None, window: Window |
     for t in out:
         if reserved(t.name):
             raise BundleError("reserved", t.name)
-        if len(set(t.frame.columns)) < len(t.frame.columns):
+        if not t.deferred and len(set(t.frame.columns)) < len(t.frame.columns):
             raise BundleError("naming", f"{t.name}: two columns of one name")
     return out
 
@@ -158,11 +157,10 @@ def changeset(parts: list[Column]) -> Column:
     return F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}"))
 
 
-def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[str, str]) -> DataFrame:
-    """item_type, item_id, event, sim_time, class and changes of one kind's events; updates that change no audited property are left out."""
+def audited_properties(bundle: Bundle, s: EventSource) -> tuple[list[str], list[str]]:
+    """The audited properties of a source of records and the keys they have in changesets; refused if one isn't there or two share a key."""
     side, kind = bundle.sidecar, s.kind
-    table = side.records(kind)
-    candidates = [p for p in table.properties() if not side.slice_only(kind, f"prop__{p}")]
+    candidates = [p for p in side.records(kind).properties() if not side.slice_only(kind, f"prop__{p}")]
     for p in (s.only or []) + (s.ignore or []) + list(s.rename or {}):
         if p not in candidates:
             raise BundleError("events", f"{kind} has no audited property {p}")
@@ -170,6 +168,14 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
     keys = [(s.rename or {}).get(p, p) for p in audited]
     if len(set(keys)) < len(keys):
         raise BundleError("events", f"{kind}: two properties under one name")
+    return audited, keys
+
+
+def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[str, str]) -> DataFrame:
+    """item_type, item_id, event, sim_time, class and changes of one kind's events; updates that change no audited property are left out."""
+    side, kind = bundle.sidecar, s.kind
+    table = side.records(kind)
+    audited, keys = audited_properties(bundle, s)
     scope = [p for p in audited if table.column(f"prop__{p}").history_tracked]
     events = temporal.row_events(bundle, kind, audited, scope)
     spine = chosen_records(bundle, kind, s.sub_types, s.where)
@@ -179,8 +185,7 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
         target = table.column(f"prop__{p}").references
         if target and side.has(f"records__{target}") and election.surfaces(target) != {"record_id"}:
             events = translate(events, bundle, election, target, p)
-    before = W.partitionBy("record_id").orderBy("sim_time", "op_class")
-    events = events.withColumns({f"_old_{p}": F.lag(p).over(before) for p in audited})
+    events = kernels.along_groups(events, ["record_id"], ["sim_time", "op_class"], "sim_time", lags={f"_old_{p}": p for p in audited})
     parts = [pair(k, F.when(F.col("op") != "c", F.col(f"_old_{p}")), F.col(p), F.col("op") != "u") for k, p in zip(keys, audited, strict=True)]
     events = events.withColumn("changes", changeset(parts)).where((F.col("op") != "u") | (F.col("changes") != "{}"))
     events = translate(events, bundle, election, kind, "record_id", "_shown")
@@ -243,12 +248,21 @@ def refuse_overlaps(bundle: Bundle, sources: list[EventSource]) -> None:
 def event_log(bundle: Bundle, log: EventLog, election: Election, anchor: Anchor, window: Window | None, labels: dict[str, str], keys: bool) -> Planned:
     """One audit log over all sources, its id dense in the order of the tape; numbered before a window is cut out, so ids never change."""
     refuse_overlaps(bundle, log.sources)
-    arms = None
-    for s in log.sources:
-        arm = (record_arm if s.kind else membership_arm)(bundle, s, election, labels)
-        arms = arm if arms is None else arms.unionByName(arm)
-    numbered = kernels.dense_sequence(arms, ["sim_time", "item_type", "op_class", "_rid", "changes"], "id")
-    if window:
-        numbered = numbered.where(window.holds("sim_time"))
-    frame = numbered.select("id", "item_type", "item_id", "event", anchor.column("sim_time").alias("occurred_at"), "changes")
-    return Planned(log.name, frame, "append" if window else "replace", ["id"] if keys else [])
+    for s in log.sources:  # what is refused is refused now; the log itself is made when it is asked for
+        if s.kind:
+            audited_properties(bundle, s)
+            chosen_records(bundle, s.kind, s.sub_types, s.where)
+        else:
+            filtered(bundle.membership(s.membership.kind, s.membership.property), s.where, bundle.sidecar.membership(s.membership.kind, s.membership.property))
+
+    def made() -> DataFrame:
+        arms = None
+        for s in log.sources:
+            arm = (record_arm if s.kind else membership_arm)(bundle, s, election, labels)
+            arms = arm if arms is None else arms.unionByName(arm)
+        numbered = kernels.dense_sequence(arms, ["sim_time", "item_type", "op_class", "_rid", "changes"], "id")
+        if window:
+            numbered = numbered.where(window.holds("sim_time"))
+        return numbered.select("id", "item_type", "item_id", "event", anchor.column("sim_time").alias("occurred_at"), "changes")
+
+    return Planned(log.name, made, "append" if window else "replace", ["id"] if keys else [])

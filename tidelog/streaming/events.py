@@ -88,19 +88,24 @@ def _member_stream(bundle: Bundle, s: Stream, election: Election) -> DataFrame:
     )
 
 
-def events(bundle: Bundle, config: Streams) -> DataFrame:
-    """All events of all streams with ``seq``, dense in the order of time, class, stream and record.
-
-    ``after`` is the image as JSON text, null on a delete. The events of a
-    stream don't depend on which properties it shows.
-    """
+def merged(bundle: Bundle, config: Streams) -> DataFrame:
+    """The events of all streams, not yet numbered; what is refused is refused here."""
     election = elect(bundle.sidecar, config.keys)
     check(bundle, config, election)
     made = None
     for s in config.streams:
         one = _state_stream(bundle, s, election) if s.kind else _member_stream(bundle, s, election)
         made = one if made is None else made.unionByName(one)
-    return kernels.dense_sequence(made, ["sim_time", "op_class", "topic", "record_id", "after"], "seq").select(*COLUMNS)
+    return made
+
+
+def events(bundle: Bundle, config: Streams) -> DataFrame:
+    """All events of all streams with ``seq``, dense in the order of time, class, stream and record.
+
+    ``after`` is the image as JSON text, null on a delete. The events of a
+    stream don't depend on which properties it shows.
+    """
+    return kernels.dense_sequence(merged(bundle, config), ["sim_time", "op_class", "topic", "record_id", "after"], "seq").select(*COLUMNS)
 
 
 def timestamp(anchor: Anchor | None, ns: str = "sim_time") -> Column:
