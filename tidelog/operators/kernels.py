@@ -12,14 +12,16 @@ from tidelog.operators.skew import BLOCK
 from tidelog.sources.shared import written
 
 
-def fill_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], min_rows: int | None = None) -> DataFrame:
+def fill_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], min_rows: int | None = None, hot: dict[int, int] | None = None) -> DataFrame:
     """rows with each column (a struct, so null values inside it survive) replaced by its last non-null one up to the row.
 
     order[0] is a number; rows equal in it stay together. Keys with very many
-    rows are cut into blocks along it.
+    rows are cut into blocks along it. hot: those keys, where the caller knows
+    them from a cheaper table; else they are looked for in rows.
     """
     min_rows = skew.MIN_ROWS if min_rows is None else min_rows
-    (hot,) = skew.hot_groups(rows, keys, min_rows=min_rows)
+    if hot is None:
+        (hot,) = skew.hot_groups(rows, keys, min_rows=min_rows)
     rows = skew.with_blocks(rows, keys, order[0], hot, min_rows)
     along = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumns({c: F.last(c, ignorenulls=True).over(along) for c in columns})
@@ -33,7 +35,7 @@ def fill_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column
 
 
 def along_groups(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], by: str, leads: dict[str, str] | None = None, lags: dict[str, str] | None = None, sums: dict[str, str] | None = None, number: str | None = None, min_rows: int | None = None,
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], by: str, leads: dict[str, str] | None = None, lags: dict[str, str] | None = None, sums: dict[str, str] | None = None, number: str | None = None, min_rows: int | None = None, hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """rows with values of their neighbours in a total order per group: new name to the column whose next, previous or running value it is.
 
@@ -44,7 +46,8 @@ def along_groups(
     """
     leads, lags, sums = leads or {}, lags or {}, sums or {}
     min_rows = skew.MIN_ROWS if min_rows is None else min_rows
-    (hot,) = skew.hot_groups(rows, keys, min_rows=min_rows)
+    if hot is None:
+        (hot,) = skew.hot_groups(rows, keys, min_rows=min_rows)
     rows = skew.with_blocks(rows, keys, by, hot, min_rows)
     along = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
@@ -143,18 +146,26 @@ def containing(probes: DataFrame, time: str, intervals: DataFrame, on: Sequence[
     spans = spans.where(" and ".join(["__e > __s", *(f"`{c}` is not null" for c in on)])).select(*on, "__s", "__e", best)
     known = numbered.where(" and ".join(f"`{c}` is not null" for c in (*on, time))).select("__id", *on, F.col(time).cast("long").alias("__t"))
 
-    ended = spans.where(F.col("__e") < last).withColumn("__level", F.coalesce(F.length(F.bin(F.expr("try_subtract(__e, __s)") - 1)), F.lit(63)))
-    levels = sorted(r[0] for r in ended.select("__level").distinct().collect())  # at most 64 numbers
+    spans = spans.withColumn("__level", F.when(F.col("__e") < last, F.coalesce(F.length(F.bin(F.expr("try_subtract(__e, __s)") - 1)), F.lit(63))))
+    levels, never = spans.agg(F.collect_set("__level"), F.bool_or(F.col("__level").isNull())).first()  # at most 64 numbers
     cell = lambda c: F.expr(f"shiftright({c}, __level)")
-    cut = ended.withColumn("__cell", F.explode(F.array_distinct(F.array(cell("__s"), cell("(__e - 1)")))))
-    spread = known.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__cell", cell("__t"))
+    cut = spans.where("__level is not null").withColumn("__cell", F.explode(F.array_distinct(F.array(cell("__s"), cell("(__e - 1)")))))
+    spread = known.withColumn("__level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>"))).withColumn("__cell", cell("__t"))
     at = [*on, "__level", "__cell"]
-    (hot,) = skew.hot_groups(spread, at, min_rows=min_rows) if levels else ({},)
-    left, right = skew.salted(spread, cut, at, hot, ["__id"])
-    found = left.join(right, [*at, skew.SALT]).where("__s <= __t and __t < __e").select("__id", "__best")
+    if known.limit(skew.SMALL + 1).count() <= skew.SMALL:  # the probes go to the intervals, at most 64 rows each
+        left, right = spread.withColumn(skew.SALT, F.lit(0)), cut.withColumn(skew.SALT, F.lit(0))
+        met = right.join(F.broadcast(left), [*at, skew.SALT])
+    else:
+        (hot,) = skew.hot_groups(spread, at, min_rows=min_rows)
+        left, right = skew.salted(spread, cut, at, hot, ["__id"])
+        met = left.join(right, [*at, skew.SALT])
+    found = met.where("__s <= __t and __t < __e").select("__id", "__best")
+    if not never:
+        winner = found.groupBy("__id").agg(F.min("__best").alias("__best"))
+        return numbered.join(winner, "__id", "left").select(*probes.columns, *(F.col(f"__best.{p}").alias(p) for p in pick))
 
     # of the intervals that never end, the last to begin; one row per start
-    opened = spans.where(F.col("__e") == last).groupBy(*on, F.col("__s").alias("__t")).agg(F.min("__best").alias("__best"))
+    opened = spans.where("__level is null").groupBy(*on, F.col("__s").alias("__t")).agg(F.min("__best").alias("__best"))
     asked = known.select(*on, "__t", F.lit(1).alias("__side"), F.lit(None).cast(spans.schema["__best"].dataType).alias("__best"), "__id")
     both = opened.select(*on, "__t", F.lit(0).alias("__side"), "__best", F.lit(None).cast("long").alias("__id")).unionByName(asked)
     begun = fill_last(both, on, ["__t", "__side"], ["__best"], min_rows).where("__id is not null and __best is not null").select("__id", "__best")

@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators import kernels
+from tidelog.operators import kernels, skew
 from tidelog.sources.bundle import Bundle, spark_type
 
 #: Classes of events at one instant, in the order they apply.
@@ -20,6 +20,12 @@ OPS = {"c": 0, "u": 1, "d": 2}
 JOIN, LEAVE = 0, 1
 
 
+def busy(bundle: Bundle, kind: str, properties: Sequence[str]) -> dict[int, int]:
+    """The records with very many history rows, from one scan of the history itself."""
+    (hot,) = skew.hot_groups(bundle.history(kind, properties), ["record_id"], min_rows=skew.MIN_ROWS)
+    return hot
+
+
 def _instants(bundle: Bundle, kind: str, properties: Sequence[str]) -> DataFrame:
     """One row per record and instant, with a struct per property that changed then, else null."""
     rows = bundle.history(kind, properties).where("record_id is not null and sim_time is not null")
@@ -37,10 +43,11 @@ def versions(bundle: Bundle, kind: str, properties: Sequence[str] | None = None,
     scope = list(scope if scope is not None else bundle.sidecar.tracked(kind))
     properties = list(properties if properties is not None else scope)
     wide = _instants(bundle, kind, sorted({*scope, *properties}))
-    filled = kernels.fill_last(wide, ["record_id"], ["sim_time"], [f"_p_{p}" for p in properties])
+    hot = busy(bundle, kind, sorted({*scope, *properties}))
+    filled = kernels.fill_last(wide, ["record_id"], ["sim_time"], [f"_p_{p}" for p in properties], hot=hot)
     if set(properties) - set(scope):
         filled = filled.where(" or ".join(f"`_p_{p}` is not null" for p in scope))
-    ended = kernels.along_groups(filled, ["record_id"], ["sim_time"], "sim_time", leads={"_end": "sim_time"})
+    ended = kernels.along_groups(filled, ["record_id"], ["sim_time"], "sim_time", leads={"_end": "sim_time"}, hot=hot)
     return ended.select("record_id", F.col("sim_time").alias("version_start"), F.col("_end").alias("version_end"), *(F.col(f"_p_{p}.value").alias(p) for p in properties))
 
 
@@ -82,7 +89,7 @@ def membership_state_at(bundle: Bundle, kind: str, prop: str, horizon: int) -> D
     return bundle.membership(kind, prop).where((F.col("joined_sim_time") < horizon) & (F.col("left_sim_time").isNull() | (F.col("left_sim_time") >= horizon)))
 
 
-def row_events(bundle: Bundle, kind: str, properties: Sequence[str], scope: Sequence[str] | None = None) -> DataFrame:
+def row_events(bundle: Bundle, kind: str, properties: Sequence[str], scope: Sequence[str] | None = None, hot: dict[int, int] | None = None) -> DataFrame:
     """The change feed of a kind: record_id, sim_time, op, op_class and the after-image of ``properties`` as text.
 
     c at creation, u at each later instant with a history row of the scope
@@ -107,7 +114,7 @@ def row_events(bundle: Bundle, kind: str, properties: Sequence[str], scope: Sequ
         ops = F.when(F.col("op") == "c", 0).when(F.col("op") == "u", 1).otherwise(2)
         nothing = {f"_p_{p}": F.lit(None).cast("struct<value:string>") for p in tracked}
         both = wide.unionByName(events.withColumn("_rank", ops).withColumns(nothing))
-        events = kernels.fill_last(both, ["record_id"], ["sim_time", "_rank"], list(nothing)).where("op is not null").drop("_rank")
+        events = kernels.fill_last(both, ["record_id"], ["sim_time", "_rank"], list(nothing), hot=busy(bundle, kind, tracked) if hot is None else hot).where("op is not null").drop("_rank")
     others = [p for p in properties if p not in tracked]
     if others:
         fixed = records.select("record_id", *(F.col(f"prop__{p}").cast("string").alias(f"_c_{p}") for p in others))
@@ -164,7 +171,8 @@ def truncated(bundle: Bundle, horizon: int) -> Bundle:
 def occupancy(bundle: Bundle, kind: str, prop: str) -> DataFrame:
     """For each owner and each instant at which an interval begins or ends, how many are then open. Edges are summed, never paired."""
     edges = membership_events(bundle, kind, prop).groupBy("record_id", "sim_time").agg(F.sum(F.when(F.col("op") == "join", 1).otherwise(-1)).alias("_net"))
-    running = kernels.along_groups(edges, ["record_id"], ["sim_time"], "sim_time", sums={"open": "_net"})
+    (hot,) = skew.hot_groups(bundle.membership(kind, prop), ["record_id"], min_rows=skew.MIN_ROWS)
+    running = kernels.along_groups(edges, ["record_id"], ["sim_time"], "sim_time", sums={"open": "_net"}, hot=hot)
     return running.select("record_id", "sim_time", "open")
 
 

@@ -193,7 +193,7 @@ class TableBuilder:
             raise BundleError("grain", f"{g.kind}.{prop} is not tracked")
         rows = self.bundle.history(g.kind, [prop])
         if g.grain == "history_interval":
-            rows = kernels.along_groups(rows, ["record_id"], ["sim_time", F.col("value").asc_nulls_first()], "sim_time", leads={"lead_sim_time": "sim_time"})
+            rows = kernels.along_groups(rows, ["record_id"], ["sim_time", F.col("value").asc_nulls_first()], "sim_time", leads={"lead_sim_time": "sim_time"}, hot=temporal.busy(self.bundle, g.kind, [prop]))
         if g.value is not None:
             rows = rows.where(condition("value", g.value, "VARCHAR"))
         return rows, "sim_time"

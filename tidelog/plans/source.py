@@ -177,7 +177,8 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
     table = side.records(kind)
     audited, keys = audited_properties(bundle, s)
     scope = [p for p in audited if table.column(f"prop__{p}").history_tracked]
-    events = temporal.row_events(bundle, kind, audited, scope)
+    hot = temporal.busy(bundle, kind, scope) if scope else {}
+    events = temporal.row_events(bundle, kind, audited, scope, hot)
     spine = chosen_records(bundle, kind, s.sub_types, s.where)
     if spine is not None:
         events = events.join(spine, "record_id", "left_semi")
@@ -185,7 +186,7 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
         target = table.column(f"prop__{p}").references
         if target and side.has(f"records__{target}") and election.surfaces(target) != {"record_id"}:
             events = translate(events, bundle, election, target, p)
-    events = kernels.along_groups(events, ["record_id"], ["sim_time", "op_class"], "sim_time", lags={f"_old_{p}": p for p in audited})
+    events = kernels.along_groups(events, ["record_id"], ["sim_time", "op_class"], "sim_time", lags={f"_old_{p}": p for p in audited}, hot=hot)
     parts = [pair(k, F.when(F.col("op") != "c", F.col(f"_old_{p}")), F.col(p), F.col("op") != "u") for k, p in zip(keys, audited, strict=True)]
     events = events.withColumn("changes", changeset(parts)).where((F.col("op") != "u") | (F.col("changes") != "{}"))
     events = translate(events, bundle, election, kind, "record_id", "_shown")
