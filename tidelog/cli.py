@@ -32,13 +32,17 @@ def cmd_validate(spark: SparkSession, a) -> int:
 
 def cmd_export(spark: SparkSession, a) -> int:
     bundle, export = open_bundle(spark, a.bundle), config.export(config.load(a.config))
+    anchor = resolve_anchor(bundle.sidecar, export.rebase, a.base_date and datetime.fromisoformat(a.base_date), a.timezone)
     if a.next:
-        span = incremental.export_next(spark, bundle, export, a.out, a.fmt, notice)
+        span = incremental.export_next(spark, bundle, export, a.out, a.fmt, notice, anchor)
         print(span.label if span else "drained")
         return 0 if span else 3
-    anchor = resolve_anchor(bundle.sidecar, export.rebase, a.base_date and datetime.fromisoformat(a.base_date), a.timezone)
-    span = incremental.explicit(a.range_from, a.range_to) if a.range_from is not None else None
-    tables = incremental.export_tables(bundle, export, anchor, span, notice)
+    if (a.range_from is None) != (a.range_to is None):
+        raise BundleError("usage", "--from and --to go together")
+    if a.range_from is not None:
+        print(incremental.export_range(spark, bundle, export, a.out, a.fmt, a.range_from, a.range_to, anchor, notice).label)
+        return 0
+    tables = incremental.export_tables(bundle, export, anchor, None, notice)
     write = {"parquet": writers.write_parquet, "duckdb": writers.write_duckdb, "csv": lambda t, o: writers.write_csv(t, o, notice)}[a.fmt]
     write(tables, a.out)
     return 0
@@ -61,7 +65,7 @@ def _lines(spark: SparkSession, a):
     bundle, streams = open_bundle(spark, a.bundle), config.streams(config.load(a.config))
     anchor = resolve_anchor(bundle.sidecar, streams.rebase, a.base_date and datetime.fromisoformat(a.base_date), a.timezone)
     made = ev.events(bundle, streams)
-    return streams, made, ev.jsonl(made, anchor) if a.fmt == "jsonl" else ev.debezium(made, streams, anchor)
+    return streams, made, ev.jsonl(made, anchor) if a.fmt == "jsonl" else ev.debezium(bundle, made, streams, anchor)
 
 
 def cmd_stream(spark: SparkSession, a) -> int:
@@ -126,8 +130,8 @@ def parser() -> argparse.ArgumentParser:
     q = verb("export", cmd_export, "bundle", "config", "out")
     q.add_argument("--fmt", choices=["parquet", "csv", "duckdb"], default="parquet")
     q.add_argument("--next", action="store_true")
-    q.add_argument("--from", dest="range_from", type=int)
-    q.add_argument("--to", dest="range_to", type=int)
+    q.add_argument("--from", dest="range_from")
+    q.add_argument("--to", dest="range_to")
     q.add_argument("--base-date")
     q.add_argument("--timezone")
     q = verb("init", cmd_init, "bundle", "out")

@@ -162,7 +162,8 @@ def load(bundle: Bundle) -> State:
     frames, index = {}, {}
     for t in bundle.sidecar.tables:
         rows = bundle.table(t.name).select(*t.names())
-        h = F.concat_ws("-", F.hex(F.xxhash64(*rows.columns)), F.hex(F.xxhash64(F.lit("b"), *rows.columns)))
+        nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in rows.columns))  # hashes skip nulls
+        h = F.concat_ws("-", F.hex(F.xxhash64(nulls, *rows.columns)), F.hex(F.xxhash64(F.lit("b"), nulls, *rows.columns)))
         again = F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0)))
         frames[t.name] = written(rows.withColumn("_h", h).withColumn(ROW, F.concat_ws("-", "_h", again.cast("string"))).drop("_h"), t.name)
         if t.category == "records":

@@ -66,7 +66,7 @@ def plan(bundle: Bundle, export: Export, anchor: Anchor | None = None, window: W
                 there = there.where(F.col("created_sim_time") < horizon)
             index = there.select(F.col("record_id").alias("_rid"), F.col("record_index").alias(f"_key_{p}"))
             rows = rows.join(index, rows[column] == index["_rid"], "left").drop("_rid")
-            rows = translate(rows, bundle, election, target, column, f"_show_{p}")
+            rows = translate(rows, bundle, election, target, column, f"_show_{p}", horizon)
             columns[column], columns[f"{p}_key"] = F.col(f"_show_{p}"), F.col(f"_key_{p}")
         order = [f"{kind}_key", "id", *(["presentation_id"] if "presentation_id" in columns else []), "created_sim_time", "active", "deactivated_at", *(c for c in columns if c.startswith("prop__") or (c.endswith("_key") and c != f"{kind}_key"))]
         columns["active"] = F.col("active")

@@ -12,6 +12,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators import kernels
 from tidelog.operators.temporal import anchored
 from tidelog.plans.config import Export, Rebase
 from tidelog.sources.bundle import BundleError, Sidecar
@@ -25,6 +26,26 @@ def reserved(name: str) -> bool:
     return name in RESERVED or name.endswith("__rows")
 
 
+@dataclass(frozen=True)
+class VersionView:
+    """A view over appended version rows that supplies the ends: the next start of the same identity."""
+
+    identity: tuple[str, ...]
+    start: str
+    ends: tuple[str, ...]
+    order: tuple[str, ...]
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        following = kernels.along_groups(rows, list(self.identity), ["__valid_from_ns"], "__valid_from_ns", leads={"_following": self.start})
+        return following.withColumns({e: F.col("_following") for e in self.ends}).select(*self.order)
+
+    def sql(self, table: str) -> str:
+        """The view as a SELECT over the table of its rows."""
+        q = lambda n: '"' + n.replace('"', '""') + '"'
+        end = f"lead({q(self.start)}) OVER (PARTITION BY {', '.join(map(q, self.identity))} ORDER BY {q('__valid_from_ns')})"
+        return f"SELECT {', '.join(f'{end} AS {q(c)}' if c in self.ends else q(c) for c in self.order)} FROM {q(table)}"
+
+
 @dataclass
 class Planned:
     """One output table: a lazy frame, or a function that makes it when it is first asked for, and how it is written."""
@@ -34,7 +55,7 @@ class Planned:
     mode: str = "replace"
     primary: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
-    view: Callable[[DataFrame], DataFrame] | None = None
+    view: VersionView | None = None
     view_name: str | None = None
 
     @property
@@ -143,6 +164,33 @@ def window(index: int, config, anchor: Anchor | None) -> Window:
     return Window(index, max(0, ns(a)), ns(b), f"w{index:05d}_{max(a, local):%Y-%m-%d}")
 
 
+def civil_range(start: str, end: str, anchor: Anchor | None) -> Window:
+    """[start, end) as given by hand: with a time origin civil times in its zone (a date alone is midnight), else whole ns of sim time.
+
+    Times that the zone skips or has twice are refused. A time before the
+    origin is a negative one and selects nothing.
+    """
+    if anchor is None:
+        try:
+            a, b = int(start), int(end)
+        except ValueError as x:
+            raise BundleError("range", f"{start} to {end}: without a time origin a range is in whole ns") from x
+        label = f"r_ns{a}_ns{b}"
+    else:
+        try:
+            moments = [datetime.fromisoformat(t.strip()) for t in (start, end)]
+        except ValueError as x:
+            raise BundleError("range", f"{start} to {end}: {x}") from x
+        if any(m.tzinfo for m in moments):
+            raise BundleError("range", f"{start} to {end}: times are in the zone {anchor.zone} and name none")
+        origin = datetime.fromisoformat(anchor.origin).replace(tzinfo=UTC)
+        a, b = ((localise(m, anchor.zone) - origin) // timedelta(microseconds=1) * 1000 for m in moments)
+        label = "r_" + "_".join(f"{m:%Y-%m-%d}" if not (m.hour or m.minute or m.second or m.microsecond) else f"{m:%Y-%m-%dT%H%M%S}" for m in moments)
+    if a >= b:
+        raise BundleError("range", f"{start} is not before {end}")
+    return Window(None, a, b, label)
+
+
 def fingerprint(export: Export, anchor: Anchor | None, sidecar: Sidecar, fmt: str) -> str:
     """Equal only for runs that would make the same tables from the same dataset."""
     facts = {"config": plain(export), "anchor": plain(anchor), "sidecar": sidecar.raw(), "format": fmt, "version": 1}

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.operators import kernels, temporal
-from tidelog.plans.common import RESERVED_COLUMNS, Anchor, Notice, Planned, Sink, Window, require_unique, reserved
+from tidelog.plans.common import RESERVED_COLUMNS, Anchor, Notice, Planned, Sink, VersionView, Window, reserved
 from tidelog.plans.config import Dimensional, Export, Fk, OutColumn, OutTable
 from tidelog.plans.election import Election, claim, elect, guard, translate
 from tidelog.sources.bundle import Bundle, BundleError, Sidecar, condition
@@ -101,7 +101,7 @@ class TableBuilder:
                         raise BundleError("incremental", f"{t.name}: its view needs one valid_from column and an identity in its key")
                     name = f"{t.name}__rows"
                     selected = selected.drop(*ends).withColumnRenamed("_window_key", "__valid_from_ns")
-                    view = version_view(identity, starts[0], ends, [c.name for c in t.columns])
+                    view = VersionView(tuple(identity), starts[0], tuple(ends), tuple(c.name for c in t.columns))
         return Planned(name, selected.drop("_window_key"), mode, view=view, view_name=t.name if view else None)
 
     def check(self) -> None:
@@ -333,16 +333,6 @@ def numbered(rows: DataFrame, group: Column, order: Column, ties: list[Column],
     return known.where(~F.col("_none")).unionByName(late.drop("_h", "_before")).drop("_g", "_o", "_none")
 
 
-def version_view(identity: list[str], start: str, ends: list[str], order: list[str]):
-    """A view over appended version rows that supplies the end: the next start of the same identity."""
-
-    def view(rows: DataFrame) -> DataFrame:
-        following = kernels.along_groups(rows, identity, ["__valid_from_ns"], "__valid_from_ns", leads={"_following": start})
-        return following.withColumns({e: F.col("_following") for e in ends}).select(*order)
-
-    return view
-
-
 def plan(bundle: Bundle, export: Export, anchor: Anchor | None = None, window: Window | None = None, notices: Sink = lambda n: None) -> list[Planned]:
     config = export.dimensional
     election = elect(bundle.sidecar, export.keys)
@@ -359,4 +349,4 @@ def plan(bundle: Bundle, export: Export, anchor: Anchor | None = None, window: W
     return [TableBuilder(bundle, config, t, election, anchor, window).build() for t in config.tables]
 
 
-__all__ = ["follow", "paths", "plan", "require_unique", "resolve_path", "version_view"]
+__all__ = ["follow", "paths", "plan", "resolve_path"]

@@ -11,6 +11,10 @@ from tidelog.plans.config import Keys
 from tidelog.sources.bundle import Bundle, BundleError, Sidecar
 
 
+#: The classes of keys that are a prefix and a number.
+NUMBERED = {"counter", "record_index"}
+
+
 @dataclass(frozen=True)
 class Election:
     """kind -> {population: surface}; the population of a flat kind is None."""
@@ -66,16 +70,21 @@ def space(sidecar: Sidecar, kind: str, population: str | None, surface: str) ->
 def union_safe(a: dict, b: dict) -> bool:
     """Whether keys of two spaces of one kind can stand in one column without one meaning two records.
 
-    Ids are unique over all of a kind, so a space meets itself safely; codes
-    with different prefixes, neither the beginning of the other, are never
-    equal; of the same prefix only one and the same minting class is safe.
+    Ids and uuids meet their own class safely, and so do indexes rendered alike,
+    as a kind counts its records once. Rendered numbers of two counts never
+    meet only if no prefix is the other one followed by nothing but digits.
+    Any other pair could meet.
     """
-    if a["class"] == b["class"] and a.get("prefix", "") == b.get("prefix", ""):
-        return a.get("width", 0) == b.get("width", 0)
-    if "record_id" in (a["class"], b["class"]):
+    kinds = {a["class"], b["class"]}
+    if kinds in ({"record_id"}, {"uuid"}):
+        return True
+    if not kinds <= NUMBERED:
         return False
-    p, q = a.get("prefix", ""), b.get("prefix", "")
-    return bool(p and q) and not p.startswith(q) and not q.startswith(p)
+    p, q = sorted((a.get("prefix") or "", b.get("prefix") or ""), key=len)
+    if kinds == {"record_index"} and p == q and (a.get("width") or 0) == (b.get("width") or 0):
+        return True
+    rest = q.removeprefix(p)
+    return not q.startswith(p) or not (rest == "" or rest.isdigit())
 
 
 def require_safe_edge(sidecar: Sidecar, election: Election, kind: str) -> None:
@@ -84,12 +93,14 @@ def require_safe_edge(sidecar: Sidecar, election: Election, kind: str) -> None:
         raise BundleError("election", f"references to {kind} would mix key spaces that can collide")
 
 
-def identities(bundle: Bundle, election: Election, kind: str, name: str = "_shown") -> DataFrame:
-    """record_id and the shown identity of every record of a kind; text if its populations show different ones."""
+def identities(bundle: Bundle, election: Election, kind: str, name: str = "_shown", horizon: int | None = None) -> DataFrame:
+    """record_id and the shown identity of every record of a kind that was created before the horizon; text if its populations show different ones."""
     side = bundle.sidecar
     own = election.chosen[kind]
     surfaces = set(own.values())
     rows = bundle.records(kind)
+    if horizon is not None:
+        rows = rows.where(F.col("created_sim_time") < horizon)
     if len(surfaces) == 1:
         shown: Column = F.col(surfaces.pop())
     else:
@@ -100,15 +111,15 @@ def identities(bundle: Bundle, election: Election, kind: str, name: str = "_show
     return rows.select("record_id", shown.alias(name)).distinct()
 
 
-def translate(frame: DataFrame, bundle: Bundle, election: Election, kind: str, column: str, out: str | None = None) -> DataFrame:
-    """frame with the record ids of ``column`` shown as the kind's elected identity; unresolved ids become null.
+def translate(frame: DataFrame, bundle: Bundle, election: Election, kind: str, column: str, out: str | None = None, horizon: int | None = None) -> DataFrame:
+    """frame with the record ids of ``column`` shown as the kind's elected identity; unresolved ids become null, and so do those of records not created before the horizon.
 
     Where record_id is elected nothing is joined.
     """
     out = out or column
     if election.surfaces(kind) == {"record_id"}:
         return frame if out == column else frame.withColumn(out, F.col(column))
-    shown = identities(bundle, election, kind, "_to").withColumnRenamed("record_id", "_from")
+    shown = identities(bundle, election, kind, "_to", horizon).withColumnRenamed("record_id", "_from")
     joined = frame.join(shown, frame[column] == shown["_from"], "left").drop("_from")
     return joined.withColumn(out, F.col("_to")).drop("_to")
 

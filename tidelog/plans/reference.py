@@ -439,10 +439,10 @@ def str_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_ROWEVENTS}, {_SEQ}, t AS (SELECT *, 1704067200000 + sim_time // 1000000 AS ms FROM seqd)
     SELECT seq, 'people' AS topic, sim_time, to_json({{'before': CASE WHEN op = 'd' THEN {{'record_id': record_id}} END, 'after': CASE WHEN op <> 'd' THEN {{'record_id': record_id, 'prop__status': status, 'prop__severity': severity, 'prop__name': name}} END,
-    'source': {{'version': '1.0', 'connector': 'postgres', 'name': 'clinic', 'ts_ms': ms, 'db': 'clinic', 'schema': 'public', 'table': 'patient', 'lsn': seq}}, 'op': op, 'ts_ms': ms, 'transaction': NULL}})::VARCHAR AS value FROM t""")
+    'source': {{'version': '1.0', 'connector': 'postgres', 'name': 'clinic', 'ts_ms': ms, 'snapshot': 'false', 'db': 'clinic', 'sequence': '[null,"' || seq || '"]', 'schema': 'public', 'table': 'patient', 'txId': NULL, 'lsn': seq}}, 'op': op, 'ts_ms': ms, 'transaction': NULL}})::VARCHAR AS value FROM t""")
 def str_debezium(spark: SparkSession, d: str) -> DataFrame:
     b, c = clinic(spark, d), config.streams(_STREAMS)
-    return ev.debezium(ev.events(b, c), c, ev.stream_anchor(b, c))
+    return ev.debezium(b, ev.events(b, c), c, ev.stream_anchor(b, c))
 
 
 @query(f"WITH {_MEMBEREVENTS}, t AS (SELECT *, to_json({{'record_id': record_id, 'elem__slot': CAST(elem__slot AS VARCHAR), 'member__doctor__kind': member__doctor__kind, 'member__doctor__id': member__doctor__id}})::VARCHAR AS after FROM member) SELECT row_number() OVER (ORDER BY sim_time, op_class, record_id, after) AS seq, op, record_id, after FROM t")

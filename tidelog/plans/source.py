@@ -95,7 +95,7 @@ def state_table(bundle: Bundle, decl: SourceTable, election: Election, anchor: A
     for p in props:
         target = table.column(f"prop__{p}").references
         if target and side.has(f"records__{target}"):
-            rows = translate(rows, bundle, election, target, f"prop__{p}")
+            rows = translate(rows, bundle, election, target, f"prop__{p}", horizon=window.end if window else None)
     final = renamed(decl, names)
     columns = [(F.col("_id") if c == "record_id" else anchor.column(c) if c.endswith(("_sim_time", "_at")) else F.col(c)).alias(n) for c, n in final.items()]
     claimed = keys and claim(side, kind, None) and "presentation_id" in final
@@ -124,20 +124,20 @@ def junction(bundle: Bundle, decl: SourceTable, election: Election, anchor: Anch
         elif c.role == "member":
             names[c.name] = c.name[8:].replace("__", "_")
             if c.name.endswith("__id"):
-                rows = member_identity(rows, bundle, election, c.name[:-4] + "__kind", c.name)
+                rows = member_identity(rows, bundle, election, c.name[:-4] + "__kind", c.name, window.end if window else None)
     final = renamed(decl, names)
     show = lambda c: labelled(F.col(c), labels) if c.endswith("__kind") and c.startswith("member__") else anchor.column(c) if c.endswith("_sim_time") else F.col(c)
     return Planned(decl.name, rows.select(*(show(c).alias(n) for c, n in final.items())), "append" if window else "replace")
 
 
-def member_identity(rows: DataFrame, bundle: Bundle, election: Election, kind_column: str, id_column: str) -> DataFrame:
+def member_identity(rows: DataFrame, bundle: Bundle, election: Election, kind_column: str, id_column: str, horizon: int | None = None) -> DataFrame:
     """A member column in the identity its own kind shows; kinds are joined by (kind, id)."""
     others = [k for k in bundle.sidecar.kinds() if election.surfaces(k) != {"record_id"}]
     if not others:
         return rows
     edges = None
     for k in others:
-        one = identities(bundle, election, k, "_to").select(F.lit(k).alias("_k"), F.col("record_id").alias("_from"), F.col("_to").cast("string"))
+        one = identities(bundle, election, k, "_to", horizon).select(F.lit(k).alias("_k"), F.col("record_id").alias("_from"), F.col("_to").cast("string"))
         edges = one if edges is None else edges.unionByName(one)
     joined = rows.join(edges, (rows[kind_column] == edges["_k"]) & (rows[id_column] == edges["_from"]), "left")
     return joined.withColumn(id_column, F.when(F.col(kind_column).isin(others), F.col("_to")).otherwise(F.col(id_column))).drop("_k", "_from", "_to")
@@ -191,7 +191,7 @@ def record_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[
     events = events.withColumn("changes", changeset(parts)).where((F.col("op") != "u") | (F.col("changes") != "{}"))
     events = translate(events, bundle, election, kind, "record_id", "_shown")
     event = F.when(F.col("op") == "c", EVENTS["c"]).when(F.col("op") == "u", EVENTS["u"]).otherwise(EVENTS["d"])
-    return events.select(F.lit(s.item_type or labels.get(kind, kind)).alias("item_type"), F.col("_shown").cast("string").alias("item_id"), event.alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
+    return events.select(F.lit(s.item_type or labels.get(kind, kind)).alias("item_type"), F.col("_shown").alias("item_id"), event.alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
 
 
 def membership_arm(bundle: Bundle, s: EventSource, election: Election, labels: dict[str, str]) -> DataFrame:
@@ -212,7 +212,7 @@ def membership_arm(bundle: Bundle, s: EventSource, election: Election, labels: d
         joined = F.col("op") == "join"
         parts.append(pair((s.rename or {}).get(name, name), F.when(~joined, value), F.when(joined, value), F.lit(True)))
     events = translate(events.withColumn("changes", changeset(parts)), bundle, election, ref.kind, "record_id", "_shown")
-    return events.select(F.lit(s.item_type or f"{labels.get(ref.kind, ref.kind)}.{ref.property}").alias("item_type"), F.col("_shown").cast("string").alias("item_id"), F.when(F.col("op") == "join", EVENTS["c"]).otherwise(EVENTS["d"]).alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
+    return events.select(F.lit(s.item_type or f"{labels.get(ref.kind, ref.kind)}.{ref.property}").alias("item_type"), F.col("_shown").alias("item_id"), F.when(F.col("op") == "join", EVENTS["c"]).otherwise(EVENTS["d"]).alias("event"), "sim_time", "op_class", "changes", F.col("record_id").alias("_rid"))
 
 
 def typed_values(value, declared: str) -> set:
@@ -246,6 +246,19 @@ def refuse_overlaps(bundle: Bundle, sources: list[EventSource]) -> None:
                 raise BundleError("events", f"sources {j} and {i} cover the same rows")
 
 
+def item_id_type(bundle: Bundle, log: EventLog, election: Election) -> str:
+    """The type of item_id: that of the identity all sources show, text if they show different ones."""
+    shown, types = set(), set()
+    for s in log.sources:
+        kind = s.kind or s.membership.kind
+        shown |= election.surfaces(kind, populations(bundle, kind, s.sub_types) if s.kind else None)
+        claimed = bundle.sidecar.records(kind).column("presentation_id") if bundle.sidecar.has(f"records__{kind}") else None
+        types.add(spark_type(claimed.type) if claimed else "string")
+    if shown == {"record_index"}:
+        return "bigint"
+    return types.pop() if shown == {"presentation_id"} and len(types) == 1 else "string"
+
+
 def event_log(bundle: Bundle, log: EventLog, election: Election, anchor: Anchor, window: Window | None, labels: dict[str, str], keys: bool) -> Planned:
     """One audit log over all sources, its id dense in the order of the tape; numbered before a window is cut out, so ids never change."""
     refuse_overlaps(bundle, log.sources)
@@ -256,10 +269,12 @@ def event_log(bundle: Bundle, log: EventLog, election: Election, anchor: Anchor,
         else:
             filtered(bundle.membership(s.membership.kind, s.membership.property), s.where, bundle.sidecar.membership(s.membership.kind, s.membership.property))
 
+    id_type = item_id_type(bundle, log, election)
+
     def made() -> DataFrame:
         arms = None
         for s in log.sources:
-            arm = (record_arm if s.kind else membership_arm)(bundle, s, election, labels)
+            arm = (record_arm if s.kind else membership_arm)(bundle, s, election, labels).withColumn("item_id", F.col("item_id").cast(id_type))
             arms = arm if arms is None else arms.unionByName(arm)
         numbered = kernels.dense_sequence(arms, ["sim_time", "item_type", "op_class", "_rid", "changes"], "id")
         if window:

@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,10 @@ TYPES = {
 }
 
 
+#: The members of a sidecar, the needed and known ones first.
+SIDECAR = ("base_format_version", "branches", "runtime", "tables", "pinned_ids", "enum_domains", "record_roles", "sub_type_columns", "presentation_keys", "row_census")
+
+
 class BundleError(ValueError):
     """A bundle or configuration that is refused; ``code`` names the rule."""
 
@@ -108,9 +113,19 @@ class Sidecar:
     runtime: dict | None
     tables: tuple[Table, ...]
     optional: dict = field(default_factory=dict)
+    #: What was parsed, with members that are not declared; None for a sidecar that was made.
+    read: dict | None = field(default=None, compare=False, repr=False)
 
     @classmethod
     def parse(cls, raw: Mapping) -> Sidecar:
+        """The sidecar of a JSON object. One without the needed members, or with members of another shape, is refused."""
+        try:
+            return cls._parse(raw)
+        except (KeyError, TypeError, AttributeError) as x:
+            raise BundleError("sidecar", f"base.json lacks or misshapes {x}") from x
+
+    @classmethod
+    def _parse(cls, raw: Mapping) -> Sidecar:
         version = raw.get("base_format_version")
         if version != VERSION:
             raise BundleError("version", f"format version {version!r} is not {VERSION}; nothing is upgraded by itself")
@@ -118,8 +133,7 @@ class Sidecar:
         for t in raw["tables"]:
             columns = tuple(Column(c["name"], c["type"], c.get("references"), c.get("history_tracked"), c.get("temporal_class")) for c in t["columns"])
             tables.append(Table(t["name"], t["category"], columns, t.get("record_kind"), t.get("property"), t.get("rows")))
-        known = {"pinned_ids", "enum_domains", "record_roles", "sub_type_columns", "presentation_keys", "row_census"}
-        return cls(version, tuple(raw["branches"]), raw.get("runtime"), tuple(tables), {k: v for k, v in raw.items() if k in known})
+        return cls(version, tuple(dict(b) for b in raw["branches"]), raw.get("runtime"), tuple(tables), {k: v for k, v in raw.items() if k in SIDECAR[4:]}, dict(raw))
 
     def raw(self) -> dict:
         tables = []
@@ -249,11 +263,21 @@ def filtered(rows: DataFrame, where: Mapping | None, table: Table) -> DataFrame:
 def open_bundle(spark: SparkSession, path: str) -> Bundle:
     """A bundle from ``base.json`` and one ``<table>.parquet`` per declared table."""
     path = path.rstrip("/")
-    found = spark.read.text(f"{path}/base.json", wholetext=True).first()
+
+    def read(name: str, load: Callable):
+        try:
+            return load()
+        except AnalysisException as x:
+            raise BundleError("missing", f"{path}/{name} can't be read") from x
+
+    found = read("base.json", lambda: spark.read.text(f"{path}/base.json", wholetext=True).first())
     if found is None:
         raise BundleError("missing", f"{path}/base.json is empty")
-    sidecar = Sidecar.parse(json.loads(found[0]))
-    return Bundle(spark, sidecar, lambda name: spark.read.parquet(f"{path}/{name}.parquet"))
+    try:
+        raw = json.loads(found[0])
+    except ValueError as x:
+        raise BundleError("sidecar", f"{path}/base.json is no JSON") from x
+    return Bundle(spark, Sidecar.parse(raw), lambda name: read(f"{name}.parquet", lambda: spark.read.parquet(f"{path}/{name}.parquet")))
 
 
 def import_duckdb(spark: SparkSession, source: str, target: str) -> Bundle:

@@ -61,6 +61,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file with the text; an existing one is refused."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 class Manifests:
     """Numbered JSON manifests beside a table's files.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -16,6 +17,14 @@ from tidelog.plans.source import chosen_records, populations
 from tidelog.sources.bundle import Bundle, BundleError
 
 TOPIC = re.compile(r"[A-Za-z0-9._-]+")
+#: The fields of an envelope's source block and transaction: name, type, whether optional.
+SOURCE = (
+    ("version", "string", False), ("connector", "string", False), ("name", "string", False), ("ts_ms", "int64", False), ("snapshot", "string", True), ("db", "string", False),
+    ("sequence", "string", True), ("schema", "string", True), ("table", "string", True), ("txId", "int64", True), ("lsn", "int64", True),
+)
+TRANSACTION = (("id", "string", False), ("total_order", "int64", False), ("data_collection_order", "int64", False))
+#: Stands for the table's name in a schema until a row's own is put in.
+TABLE = "%table%"
 COLUMNS = ["seq", "topic", "route_table", "kind", "op", "record_id", "key_column", "key_value", "sim_time", "after"]
 
 
@@ -130,7 +139,7 @@ def jsonl(made: DataFrame, anchor: Anchor | None) -> DataFrame:
     return made.withColumn("_head", head).select("seq", "topic", "sim_time", value.alias("value"))
 
 
-def debezium(made: DataFrame, config: Streams, anchor: Anchor | None) -> DataFrame:
+def debezium(bundle: Bundle, made: DataFrame, config: Streams, anchor: Anchor | None) -> DataFrame:
     """seq, topic, value: the envelope {before, after, source, op, ts_ms, transaction}, with a schema if enabled.
 
     A delete carries its key as before-image; joins and leaves are inserts
@@ -142,30 +151,53 @@ def debezium(made: DataFrame, config: Streams, anchor: Anchor | None) -> DataFra
     ns = F.col("sim_time") + F.lit(anchor.epoch_us() * 1000)
     ms = F.call_function("div", ns - F.pmod(ns, F.lit(1_000_000)), F.lit(1_000_000))
     table = F.col("route_table") if d.table_identity == "source_table" else F.col("topic")
-    source = F.struct(*(F.lit(v).alias(n) for n, v in (("version", identity.version), ("connector", identity.connector), ("name", identity.name))), ms.alias("ts_ms"), F.lit(identity.db).alias("db"), F.lit(identity.schema).alias("schema"), table.alias("table"), F.col("seq").alias("lsn"))
+    said = {
+        "version": F.lit(identity.version), "connector": F.lit(identity.connector), "name": F.lit(identity.name), "ts_ms": ms, "snapshot": F.lit("false"), "db": F.lit(identity.db),
+        "sequence": F.concat(F.lit('[null,"'), F.col("seq").cast("string"), F.lit('"]')), "schema": F.lit(identity.schema), "table": table, "txId": F.lit(None).cast("long"), "lsn": F.col("seq"),
+    }
+    source = F.struct(*(said[n].alias(n) for n, *_ in SOURCE))
     key = F.to_json(F.create_map("key_column", "key_value"))
     member = F.col("op").isin("join", "leave")
     image = F.when(member, F.concat(F.lit('{"event":"'), F.col("op"), F.lit('",'), F.substring("after", 2, 2**31 - 1))).otherwise(F.col("after"))
     parts = [
-        F.lit('{"before":'), F.when(F.col("op") == "d", key).otherwise("null"), F.lit(',"after":'), F.coalesce(image, F.lit("null")), F.lit(',"source":'), F.to_json(source),
+        F.lit('{"before":'), F.when(F.col("op") == "d", key).otherwise("null"), F.lit(',"after":'), F.coalesce(image, F.lit("null")), F.lit(',"source":'), F.to_json(source, {"ignoreNullFields": "false"}),
         F.lit(',"op":"'), F.when(member, "c").otherwise(F.col("op")), F.lit('","ts_ms":'), ms.cast("string"), F.lit(',"transaction":null}'),
     ]
     payload = F.concat(*parts)
     if d.schemas_enable:
-        schemas = F.create_map(*(x for s in config.streams for x in (F.lit(s.name), F.lit(value_schema(s)))))
-        payload = F.concat(F.lit('{"schema":'), schemas[F.col("topic")], F.lit(',"payload":'), payload, F.lit("}"))
+        # the columns of a topic's rows are the same; the name of their table is put in per row
+        schemas = F.create_map(*(x for s, names in image_columns(bundle, config).items() for x in (F.lit(s), F.lit(value_schema(names, TABLE, identity)))))
+        payload = F.concat(F.lit('{"schema":'), F.replace(schemas[F.col("topic")], F.lit(TABLE), F.regexp_extract(F.to_json(F.array(table)), r'(?s)^\["(.*)"\]$', 1)), F.lit(',"payload":'), payload, F.lit("}"))
     return made.select("seq", "topic", "sim_time", payload.alias("value"))
 
 
-def value_schema(s: Stream) -> str:
-    """The schema text of a stream's envelope: all image fields are optional strings."""
-    import json
+def image_columns(bundle: Bundle, config: Streams) -> dict[str, list[str]]:
+    """Per topic the fields its images have, in order."""
+    election, out = elect(bundle.sidecar, config.keys), {}
+    for s in config.streams:
+        if s.kind:
+            out[s.name] = [election.surface(s.kind, populations(bundle, s.kind, s.sub_types)), *(f"prop__{p}" for p in s.properties)]
+        else:
+            table = bundle.sidecar.membership(s.membership.kind, s.membership.property)
+            shown = [c.name for f in s.fields for c in table.columns if c.name in (f"elem__{f}", f"member__{f}__kind", f"member__{f}__id")]
+            out[s.name] = ["event", election.surface(s.membership.kind), *shown]
+    return out
+
 
-    fields = [f"prop__{p}" for p in s.properties] if s.kind else ["event", *s.fields]
-    image = [{"type": "string", "optional": True, "field": f} for f in fields]
-    row = lambda name: {"type": "struct", "optional": True, "field": name, "fields": image}
-    plain = [{"type": "string", "optional": False, "field": "op"}, {"type": "int64", "optional": True, "field": "ts_ms"}]
-    return json.dumps({"type": "struct", "optional": False, "name": f"{s.name}.Envelope", "fields": [row("before"), row("after"), *plain]}, separators=(",", ":"))
+def value_schema(columns: list[str], table: str, identity) -> str:
+    """The schema of an envelope as text: both images with optional text fields, the source, operation, time and transaction."""
+
+    def struct(fields: list[dict], name: str, optional: bool, **field: str) -> dict:
+        return {"type": "struct", "fields": fields, "optional": optional, "name": name, **field}
+
+    value = lambda name, kind, optional: {"type": kind, "optional": optional, "field": name}
+    image = [value(c, "string", True) for c in columns]
+    space = f"{identity.name}.{table}"
+    fields = [struct(image, f"{space}.Value", True, field=side) for side in ("before", "after")]
+    fields.append(struct([value(*f) for f in SOURCE], f"io.debezium.connector.{identity.connector}.Source", False, field="source"))
+    fields += [value("op", "string", False), value("ts_ms", "int64", True)]
+    fields.append(struct([value(*f) for f in TRANSACTION], "event.block", True, field="transaction"))
+    return json.dumps(struct(fields, f"{space}.Envelope", False), separators=(",", ":"))
 
 
 def write_files(lines: DataFrame, out: str, topics: list[str]) -> None:
@@ -203,9 +235,16 @@ def deliver_lines(lines: DataFrame) -> Iterator[tuple[int, str]]:
 
 
 def write_kafka(lines: DataFrame, made: DataFrame, servers: str) -> None:
-    """One record per event, keyed by the shown identity; needs Spark's Kafka connector on the cluster."""
-    keyed = lines.join(made.select("seq", F.to_json(F.create_map("key_column", "key_value")).alias("key")), "seq")
-    keyed.sortWithinPartitions("seq").select("topic", "key", "value").write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").save()
+    """One record per event, keyed by the shown identity; needs Spark's Kafka connector on the cluster.
+
+    Every topic is written by one task, in the order of seq, to its partition
+    0, so its order is that of the tape; the sim time goes into a header, as
+    the connector sets no record times.
+    """
+    keyed = lines.join(made.select("seq", F.to_json(F.create_map("key_column", "key_value")).alias("key")), "seq").repartition("topic")
+    header = F.array(F.struct(F.lit("sim_time").alias("key"), F.col("sim_time").cast("string").cast("binary").alias("value")))
+    records = keyed.sortWithinPartitions("topic", "seq").select("topic", "key", "value", F.lit(0).alias("partition"), header.alias("headers"))
+    records.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").save()
 
 
 def servers(argument: str | None, config: Streams, environment: str | None) -> str:

@@ -26,10 +26,15 @@ def event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over what is there now, then stop; the result as a table. In complete mode the last batch holds everything."""
+def run(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run over what is there now, then stop; the result so far as a table. In complete mode the last batch holds everything.
+
+    at: a folder that keeps progress, state and result. A later run with it,
+    also after a failure, reads only what has come since and adds each batch
+    once. Without it all goes when the driver's Python ends.
+    """
     spark = stream.sparkSession
-    out, schema = fresh_folder(spark, name), stream.schema
+    out, schema = at or fresh_folder(spark, name), stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={number if mode != 'complete' else 0}")
