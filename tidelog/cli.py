@@ -90,17 +90,35 @@ def cmd_mixer(spark: SparkSession, a) -> int:
     streams, made, lines = _lines(spark, a)
     end = made.agg({"sim_time": "max"}).first()[0] or 0
     state = mixer.Mixer({s.name: mixer.Topic(s.name) for s in streams.streams}, end, a.speed or 1.0, not a.paused)
+    if a.consume:
+        empty = frozenset(r["topic"] for r in ev.topic_counts(made, streams).where("events = 0").collect())  # one row per topic
+        joins = [tuple(j.split("-", 1)) for j in a.join or []]
+        state.consumer = mixer.Consumer([s.name for s in streams.streams], empty, a.window or [], joins)
+        state.budget = mixer.Budget(a.consume_rate)
+    target = ev.servers(a.bootstrap_servers, streams, os.environ.get("TIDELOG_KAFKA_BOOTSTRAP")) if a.sink == "kafka" else None
     server = mixer.serve(state, a.host, a.port)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     print(json.dumps({"control": f"http://{server.server_address[0]}:{server.server_address[1]}"}), flush=True)
 
+    polled: list[tuple[str, int]] = []
+
     def send(topic: str, due) -> None:
-        for row in due.orderBy("seq").toLocalIterator():
-            print(row["value"], flush=True)
+        if target:
+            ev.write_kafka(due, made, target)
+        for row in due.orderBy("seq").toLocalIterator() if a.consume or not target else ():
+            polled.append((topic, row["sim_time"]))
+            if not target:
+                print(row["value"], flush=True)
 
     while not (state.frontier >= end and all(t.muted or t.edge >= end - t.lag for t in state.topics.values())):
         mixer.release(lines, state, a.tick, send)
+        state.pull(a.tick, polled)
+        polled.clear()
+        time.sleep(a.tick)
+    while state.budget and state.budget.buffer:  # what the consumer still owes
+        state.pull(a.tick, [])
         time.sleep(a.tick)
+    print(json.dumps(state.meters()), flush=True)
     server.shutdown()
     return 0
 
@@ -150,6 +168,11 @@ def parser() -> argparse.ArgumentParser:
             q.add_argument("--fast", action="store_true")
         else:
             q.add_argument("--tick", type=float, default=1.0)
+            q.add_argument("--sink", choices=["stdout", "kafka"], default="stdout")
+            q.add_argument("--consume", action="store_true")
+            q.add_argument("--consume-rate", type=float)
+            q.add_argument("--window", type=int, action="append")
+            q.add_argument("--join", action="append", metavar="FACT-DIMENSION")
             q.add_argument("--paused", action="store_true")
             q.add_argument("--host", default="127.0.0.1")
             q.add_argument("--port", type=int, default=0)

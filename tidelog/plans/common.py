@@ -57,6 +57,8 @@ class Planned:
     unique: list[list[str]] = field(default_factory=list)
     view: VersionView | None = None
     view_name: str | None = None
+    #: The columns a delivery is sorted by; all, in their order, if none are named.
+    order: list[str] = field(default_factory=list)
 
     @property
     def deferred(self) -> bool:
@@ -68,6 +70,11 @@ class Planned:
             self.source = self.source()
         return self.source
 
+    def sorted(self) -> DataFrame:
+        """The rows in the order of a delivery, nulls first, so equal runs give equal files."""
+        names = dict.fromkeys([*self.order, *self.frame.columns])
+        return self.frame.orderBy(*(F.col(c).asc_nulls_first() for c in names))
+
 
 @dataclass(frozen=True)
 class Notice:

@@ -102,7 +102,8 @@ class TableBuilder:
                     name = f"{t.name}__rows"
                     selected = selected.drop(*ends).withColumnRenamed("_window_key", "__valid_from_ns")
                     view = VersionView(tuple(identity), starts[0], tuple(ends), tuple(c.name for c in t.columns))
-        return Planned(name, selected.drop("_window_key"), mode, view=view, view_name=t.name if view else None)
+        order = [c for c in dict.fromkeys([*t.key, *out]) if c in selected.columns and c != "_window_key"]
+        return Planned(name, selected.drop("_window_key"), mode, view=view, view_name=t.name if view else None, order=order)
 
     def check(self) -> None:
         t, names = self.table, [c.name for c in self.table.columns]
@@ -224,6 +225,8 @@ class TableBuilder:
             arms = [(source == str(k), F.lit(v).cast(kind)) for k, v in d.value_map.map.items()]
             return rows, reduce(lambda tail, arm: F.when(arm[0], arm[1]).otherwise(tail), reversed(arms), F.lit(None).cast(kind))
         if d.mode == "timestamp":
+            if d.timestamp.source not in rows.columns:
+                raise BundleError("timestamp", f"{self.table.name}.{c.name}: the grain has no {d.timestamp.source}")
             return rows, self.anchor.column(d.timestamp.source) if self.anchor else F.col(d.timestamp.source)
         if d.mode == "scd_window":
             source = "version_start" if d.scd_window == "valid_from" else "version_end"
@@ -231,6 +234,8 @@ class TableBuilder:
         if d.mode == "elapsed":
             e = d.elapsed
             table = self.source_table()
+            if lost := [n for n in (e.correlate_on, e.start_source, *e.other_where) if table.column(n) is None] + [n for n in (e.correlate_on, e.end_source) if n not in rows.columns]:
+                raise BundleError("elapsed", f"{self.table.name}.{c.name}: the grain has no {', '.join(lost)}")
             others = self.bundle.history(self.kind, [self.table.source.property]) if table.name == "history" else self.bundle.table(table.name)
             for name, value in e.other_where.items():
                 others = others.where(condition(name, value, table.column(name).type))
@@ -269,8 +274,9 @@ class TableBuilder:
         if dim is None or dim.role != "dim":
             raise BundleError("fk", f"{self.table.name}.{c.name}: {fk.to} is no dim")
         goal, alias = dim.source.kind, f"_fk_{c.name}"
-        surface = fk.target_key or next(iter(sorted(self.election.surfaces(goal))))
-        if len(self.election.surfaces(goal)) == 1 and not any(k.source in (surface, "record_id") for k in dim.columns if k.name in dim.key):
+        shown = self.election.surfaces(goal, self.admitted(dim))
+        surface = fk.target_key or next(iter(sorted(shown)))
+        if len(shown) == 1 and not any(k.source in (surface, "record_id") for k in dim.columns if k.name in dim.key):
             raise BundleError("fk", f"{self.table.name}.{c.name} shows {surface}, which is in no key column of {dim.name}")
         if fk.via == "reference":
             path, _ = resolve_path(self.side, self.kind, goal, fk.path)
@@ -286,6 +292,12 @@ class TableBuilder:
             rows, shown = translate(rows, self.bundle, self.election, goal, alias, f"{alias}_key"), f"{alias}_key"
         return rows, F.col(shown)
 
+    def admitted(self, dim: OutTable) -> list[str] | None:
+        """The sub-types a dim's filter lets in; None for all."""
+        name = self.side.discriminator(dim.source.kind)
+        said = (dim.source.filter or {}).get(name) if name else None
+        return None if said is None else said if isinstance(said, list) else [said]
+
     def membership_fk(self, rows: DataFrame, fk: Fk, goal: str, alias: str) -> DataFrame:
         g, member_kind = self.table.source, goal
         if fk.as_of:

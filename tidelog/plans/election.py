@@ -124,11 +124,16 @@ def translate(frame: DataFrame, bundle: Bundle, election: Election, kind: str, c
     return joined.withColumn(out, F.col("_to")).drop("_to")
 
 
+def key_counts(bundle: Bundle, election: Election, kind: str) -> DataFrame:
+    """One row: pairs of record and shown identity, different records, different identities, and records without one."""
+    return identities(bundle, election, kind).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"), F.countDistinct("_shown").alias("shown"), F.count_if(F.col("_shown").isNull()).alias("nulls"))
+
+
 def guard(bundle: Bundle, election: Election, kinds: set[str]) -> None:
     """Refuse if an elected identity other than record_id does not name each record once. One aggregate per kind."""
     for kind in sorted(kinds):
         if election.surfaces(kind) == {"record_id"}:
             continue
-        n, ids, shown, nulls = identities(bundle, election, kind).agg(F.count(F.lit(1)), F.countDistinct("record_id"), F.countDistinct("_shown"), F.count_if(F.col("_shown").isNull())).first()
+        n, ids, shown, nulls = key_counts(bundle, election, kind).first()
         if nulls or not n == ids == shown:
             raise BundleError("election", f"{kind}: the elected identity is no key ({n} pairs, {ids} records, {shown} identities, {nulls} nulls)")

@@ -118,6 +118,11 @@ class Playback:
         """The rows an export has for [start, end)."""
         return export_tables(self.bundle, export, None, Window(None, start, end, f"r{start}_{end}"))
 
+    def tables(self, export: Export) -> list[dict]:
+        """What an export's windows hold: name, columns and mode of each table, with the view over it if it has one."""
+        planned = export_tables(self.bundle, export, None, Window(None, 0, 1, "r0_1"))
+        return [{"name": t.name, "columns": t.frame.columns, "mode": t.mode, "view": t.view_name} for t in planned]
+
     def shaped_state(self, export: Export, moment: int) -> list[Planned]:
         """A whole export of the tape as it was at the moment."""
         return export_tables(temporal.truncated(self.bundle, moment), export)

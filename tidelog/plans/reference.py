@@ -9,7 +9,7 @@ from tidelog.functions import mutations
 from tidelog.operators import kernels, temporal
 from tidelog.plans import config, conformance, dimensional, incremental, propose
 from tidelog.plans.common import Window
-from tidelog.plans.election import elect, identities
+from tidelog.plans.election import elect, identities, key_counts
 from tidelog.plans.playback import Atom, Playback
 from tidelog.sources.adapters import clinic, sales
 from tidelog.sources.tables import table
@@ -391,10 +391,24 @@ def exp_source_log_window(spark: SparkSession, d: str) -> DataFrame:
     return _one(clinic(spark, d), _SOURCE, "log", Window(None, LO, HI, "w"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE o_orderstatus WHEN 'O' THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS shown FROM orders")
+@query("SELECT record_id, record_index AS shown FROM records__patient")
 def exp_election(spark: SparkSession, d: str) -> DataFrame:
-    b = sales(spark, d)
-    return identities(b, elect(b.sidecar, {"order": "record_index"}), "order", "shown").withColumn("shown", F.col("shown").cast("string"))
+    """The elected identity of every patient; the ids have nothing in common with the indexes."""
+    b = clinic(spark, d)
+    return identities(b, elect(b.sidecar, {"patient": "record_index"}), "patient", "shown")
+
+
+@query(f"SELECT record_id, record_index AS shown FROM records__doctor WHERE created_sim_time < {T}")
+def exp_election_at(spark: SparkSession, d: str) -> DataFrame:
+    b = clinic(spark, d)
+    return identities(b, elect(b.sidecar, {"doctor": "record_index"}), "doctor", "shown", T)
+
+
+@query(f"WITH {_state(f'<= {T}')} SELECT s.record_index AS id, s.prop__status, dr.record_index AS prop__doctor_id, dr.record_index AS doctor_id_key FROM state s LEFT JOIN records__doctor dr ON dr.record_id = s.prop__doctor_id AND dr.created_sim_time <= {T}")
+def exp_base_elected(spark: SparkSession, d: str) -> DataFrame:
+    """A past state under elected identities: a doctor who was not there yet has none."""
+    raw = {"mode": "base", "base": {"slice_at": T}, "keys": {"patient": "record_index", "doctor": "record_index"}}
+    return _one(clinic(spark, d), raw, "patient").select("id", "prop__status", "prop__doctor_id", "doctor_id_key")
 
 
 @query("SELECT kind, property, count(*) AS rows, count(DISTINCT record_id) AS records, count(*) / count(DISTINCT record_id) AS versions_per_record FROM history WHERE kind = 'patient' GROUP BY ALL")
@@ -404,7 +418,8 @@ def agg_versions_per_record(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, count(DISTINCT record_id) AS ids, count(DISTINCT record_index) AS shown, count(*) FILTER (record_index IS NULL) AS nulls FROM records__patient")
 def agg_bijection(spark: SparkSession, d: str) -> DataFrame:
-    return clinic(spark, d).records("patient").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"), F.countDistinct("record_index").alias("shown"), F.count_if(F.col("record_index").isNull()).alias("nulls"))
+    b = clinic(spark, d)
+    return key_counts(b, elect(b.sidecar, {"patient": "record_index"}), "patient")
 
 
 @query("SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, event_id FROM events")
@@ -412,11 +427,11 @@ def win_dense_sequence(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dense_sequence(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], "seq").select("seq", "event_id")
 
 
-@query("SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 1234)")
+@query("SELECT o_orderkey FROM orders ORDER BY (o_orderkey * 2654435761) % 4294967296 - 2147483648, o_orderkey LIMIT 1234")
 def sample_exact(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded sample of exactly 1,234 orders, drawn without gathering or ordering all."""
-    units = table(spark, d, "orders").select("o_orderkey").withColumn("_o", F.xxhash64(F.lit("seed"), "o_orderkey"))
-    return kernels.smallest(units, "_o", 1234, ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n"))
+    """The 1,234 orders that come first in a scrambled order, drawn without gathering or ordering all."""
+    units = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 2654435761 % 4294967296 - 2147483648).alias("_o"))
+    return kernels.smallest(units, "_o", 1234, ["o_orderkey"]).select("o_orderkey")
 
 
 # --- streams and playback ---------------------------------------------------
@@ -451,6 +466,45 @@ def str_membership_events(spark: SparkSession, d: str) -> DataFrame:
     return ev.events(clinic(spark, d), c).select("seq", "op", "record_id", "after")
 
 
+_VISITS = {"content": "membership-events", "debezium": {"schemas_enable": True, "source": _STREAMS["debezium"]["source"]}, "streams": [{"name": "visits", "membership": {"kind": "patient", "property": "visits"}, "fields": ["slot", "doctor"]}]}
+_FIELDS = ", ".join(f'{{"type":"string","optional":true,"field":"{f}"}}' for f in ("event", "record_id", "elem__slot", "member__doctor__kind", "member__doctor__id")).replace(", ", ",")
+_SOURCE_FIELDS = ",".join(f'{{"type":"{t}","optional":{o},"field":"{n}"}}' for n, t, o in (
+    ("version", "string", "false"), ("connector", "string", "false"), ("name", "string", "false"), ("ts_ms", "int64", "false"), ("snapshot", "string", "true"), ("db", "string", "false"),
+    ("sequence", "string", "true"), ("schema", "string", "true"), ("table", "string", "true"), ("txId", "int64", "true"), ("lsn", "int64", "true"),
+))
+_ENVELOPE = f"""{{"type":"struct","fields":[{{"type":"struct","fields":[{_FIELDS}],"optional":true,"name":"clinic.patient__visits.Value","field":"before"}},{{"type":"struct","fields":[{_FIELDS}],"optional":true,"name":"clinic.patient__visits.Value","field":"after"}},{{"type":"struct","fields":[{_SOURCE_FIELDS}],"optional":false,"name":"io.debezium.connector.postgres.Source","field":"source"}},{{"type":"string","optional":false,"field":"op"}},{{"type":"int64","optional":true,"field":"ts_ms"}},{{"type":"struct","fields":[{{"type":"string","optional":false,"field":"id"}},{{"type":"int64","optional":false,"field":"total_order"}},{{"type":"int64","optional":false,"field":"data_collection_order"}}],"optional":true,"name":"event.block","field":"transaction"}}],"optional":false,"name":"clinic.patient__visits.Envelope"}}"""
+
+
+def _visit_messages(spark: SparkSession, d: str) -> DataFrame:
+    b, c = clinic(spark, d), config.streams(_VISITS)
+    return ev.debezium(b, ev.events(b, c), c, ev.stream_anchor(b, c))
+
+
+@query(f"SELECT 'visits' AS topic, '{_ENVELOPE}' AS schema, count(*) AS messages FROM (SELECT unnest([joined_sim_time, left_sim_time]) AS t FROM membership__patient__visits) WHERE t IS NOT NULL")
+def str_debezium_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The schema every message of a topic carries, with how many do."""
+    schema = F.regexp_extract("value", r'^\{"schema":(.*),"payload":', 1)
+    return _visit_messages(spark, d).groupBy("topic", schema.alias("schema")).agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(f"""WITH {_MEMBEREVENTS}, a AS (SELECT *, to_json({{'record_id': record_id, 'elem__slot': CAST(elem__slot AS VARCHAR), 'member__doctor__kind': member__doctor__kind, 'member__doctor__id': member__doctor__id}})::VARCHAR AS after FROM member),
+    t AS (SELECT *, row_number() OVER (ORDER BY sim_time, op_class, record_id, after) AS seq, 1704067200000 + sim_time // 1000000 AS ms FROM a)
+    SELECT seq, to_json({{'before': NULL, 'after': {{'event': op, 'record_id': record_id, 'elem__slot': CAST(elem__slot AS VARCHAR), 'member__doctor__kind': member__doctor__kind, 'member__doctor__id': member__doctor__id}},
+    'source': {{'version': '1.0', 'connector': 'postgres', 'name': 'clinic', 'ts_ms': ms, 'snapshot': 'false', 'db': 'clinic', 'sequence': '[null,"' || seq || '"]', 'schema': 'public', 'table': 'patient__visits', 'txId': NULL, 'lsn': seq}}, 'op': 'c', 'ts_ms': ms, 'transaction': NULL}})::VARCHAR AS payload FROM t""")
+def str_membership_debezium(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.regexp_extract("value", r'"payload":(.*)\}$', 1)
+    return _visit_messages(spark, d).select("seq", payload.alias("payload"))
+
+
+@query(f"""WITH {_ROWEVENTS}, docs AS (SELECT record_id, created_sim_time AS sim_time, 'c' AS op, 0 AS op_class FROM records__doctor UNION ALL SELECT record_id, deactivated_at, 'd', 2 FROM records__doctor WHERE deactivated_at IS NOT NULL),
+    both_ AS (SELECT 'doctors' AS topic, * FROM docs UNION ALL SELECT 'people', record_id, sim_time, op, op_class FROM imaged)
+    SELECT row_number() OVER (ORDER BY sim_time, op_class, topic, record_id) AS seq, topic, op, record_id FROM both_""")
+def str_two_topics(spark: SparkSession, d: str) -> DataFrame:
+    """One order over the events of several topics."""
+    c = config.streams({**_STREAMS, "streams": [*_STREAMS["streams"], {"name": "doctors", "kind": "doctor", "properties": ["name"]}]})
+    return ev.events(clinic(spark, d), c).select("seq", "topic", "op", "record_id")
+
+
 @query(f"WITH {_ROWEVENTS} SELECT 'people' AS topic, count(*) AS events FROM imaged")
 def str_topic_counts(spark: SparkSession, d: str) -> DataFrame:
     c = config.streams(_STREAMS)
@@ -572,24 +626,53 @@ def _corrupted(spark: SparkSession, d: str, bundle, *operations: dict) -> tuple:
 
 
 
-@query("SELECT 'missing_value' AS class, CAST(floor(0.1 * (SELECT count(*) FROM customer) * 2) AS BIGINT) AS n UNION ALL SELECT 'duplicate_row', CAST(floor(0.05 * (SELECT count(*) FROM orders)) AS BIGINT) UNION ALL SELECT 'phantom_row', 9 UNION ALL SELECT 'dangling_reference', 11 UNION ALL SELECT 'deleted_row', CAST(floor(0.02 * (SELECT count(*) FROM part)) AS BIGINT)")
+_CELLS = "CAST(floor(0.1 * (SELECT count(*) FROM customer) * 2) AS BIGINT)"
+_TWICE, _GONE = "CAST(floor(0.05 * (SELECT count(*) FROM orders)) AS BIGINT)", "CAST(floor(0.02 * (SELECT count(*) FROM part)) AS BIGINT)"
+_SPOILT = (
+    {"kind": "null_cells", "target": {"table": "records__customer", "columns": ["prop__name", "prop__mktsegment"]}, "amount": {"rate": 0.1}},
+    {"kind": "duplicate_rows", "target": {"table": "records__order"}, "amount": {"rate": 0.05}},
+    {"kind": "delete_rows", "target": {"table": "records__part"}, "amount": {"rate": 0.02}},
+    {"kind": "insert_rows", "target": {"table": "records__part"}, "amount": {"count": 9}},
+    {"kind": "dangle_reference", "target": {"table": "records__order", "columns": ["prop__customer_id"]}, "amount": {"count": 11}},
+)
+
+
+@query(f"SELECT 'missing_value' AS class, {_CELLS} AS n UNION ALL SELECT 'duplicate_row', {_TWICE} UNION ALL SELECT 'phantom_row', 9 UNION ALL SELECT 'dangling_reference', 11 UNION ALL SELECT 'deleted_row', {_GONE}")
 def cor_records(spark: SparkSession, d: str) -> DataFrame:
     """Exact amounts: as many defects as the operations declare."""
-    _, defects = _corrupted(
-        spark, d, sales,
-        {"kind": "null_cells", "target": {"table": "records__customer", "columns": ["prop__name", "prop__mktsegment"]}, "amount": {"rate": 0.1}},
-        {"kind": "duplicate_rows", "target": {"table": "records__order"}, "amount": {"rate": 0.05}},
-        {"kind": "delete_rows", "target": {"table": "records__part"}, "amount": {"rate": 0.02}},
-        {"kind": "insert_rows", "target": {"table": "records__part"}, "amount": {"count": 9}},
-        {"kind": "dangle_reference", "target": {"table": "records__order", "columns": ["prop__customer_id"]}, "amount": {"count": 11}},
-    )
+    _, defects = _corrupted(spark, d, sales, *_SPOILT)
     return defects.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'dropped_event' AS class, CAST(floor(0.03 * (SELECT count(*) FROM history)) AS BIGINT) AS n")
+@query(f"""SELECT 'cells newly null' AS what, {_CELLS} AS n UNION ALL SELECT 'other cells changed', 0 UNION ALL SELECT 'orders', (SELECT count(*) FROM orders) + {_TWICE}
+    UNION ALL SELECT 'orders without a customer', 11 UNION ALL SELECT 'parts missing', {_GONE} UNION ALL SELECT 'parts made up', 9 UNION ALL SELECT 'lines', (SELECT count(*) FROM lineitem)""")
+def cor_effects(spark: SparkSession, d: str) -> DataFrame:
+    """What the defects did to the tables themselves: rows and cells before and after, compared."""
+    before = sales(spark, d)
+    after, _ = _corrupted(spark, d, sales, *_SPOILT)
+    was = before.records("customer").select("record_id", *(F.col(c).alias(f"_{c}") for c in ("prop__name", "prop__mktsegment", "prop__nation_id")))
+    both = after.records("customer").join(was, "record_id")
+    lost = sum((F.col(c).isNull() & F.col(f"_{c}").isNotNull()).cast("long") for c in ("prop__name", "prop__mktsegment"))
+    other = sum((F.col(c).isNotNull() & (F.col(c) != F.col(f"_{c}"))).cast("long") for c in ("prop__name", "prop__mktsegment")) + (~F.col("prop__nation_id").eqNullSafe(F.col("_prop__nation_id"))).cast("long")
+    said = lambda what, df, n=F.count(F.lit(1)): df.agg(n.cast("long").alias("n")).select(F.lit(what).alias("what"), "n")
+    parts, now = before.records("part").select("record_id"), after.records("part").select("record_id")
+    stray = after.records("order").join(before.records("customer").select(F.col("record_id").alias("_id")), F.col("prop__customer_id") == F.col("_id"), "left_anti").where("prop__customer_id is not null")
+    out = said("cells newly null", both, F.sum(lost))
+    for part in (
+        said("other cells changed", both, F.sum(other)), said("orders", after.records("order")), said("orders without a customer", stray.select("record_id", "prop__customer_id").distinct()),
+        said("parts missing", parts.join(now, "record_id", "left_anti")), said("parts made up", now.join(parts, "record_id", "left_anti")), said("lines", after.membership("order", "lines")),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+@query("""SELECT 'rows' AS what, count(*) - CAST(floor(0.03 * count(*)) AS BIGINT) AS n FROM history UNION ALL SELECT 'rows that were not there', 0""")
 def cor_history(spark: SparkSession, d: str) -> DataFrame:
-    _, defects = _corrupted(spark, d, clinic, {"kind": "drop_events", "target": {"table": "history"}, "amount": {"rate": 0.03}})
-    return defects.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    """Dropped events: the declared share is gone, and what is left was there before, counted with its repeats."""
+    after, _ = _corrupted(spark, d, clinic, {"kind": "drop_events", "target": {"table": "history"}, "amount": {"rate": 0.03}})
+    left = after.history()
+    fresh = left.exceptAll(clinic(spark, d).history().select(*left.columns))
+    return left.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("what"), "n").unionByName(fresh.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows that were not there").alias("what"), "n"))
 
 
 @query()

@@ -29,6 +29,8 @@ TYPES = {
 }
 
 
+#: Bits of the whole numbers.
+WIDTHS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 #: The members of a sidecar, the needed and known ones first.
 SIDECAR = ("base_format_version", "branches", "runtime", "tables", "pinned_ids", "enum_domains", "record_roles", "sub_type_columns", "presentation_keys", "row_census")
 
@@ -237,8 +239,21 @@ class Bundle:
 
 
 def literal(value, declared: str):
-    """A typed literal; a value that doesn't fit its column's type is refused when the query runs."""
-    return F.lit(value).cast(spark_type(declared))
+    """A typed literal; a value that doesn't fit its column's type is refused."""
+    kind, text = spark_type(declared), str(value).strip()
+    try:
+        if kind in WIDTHS:
+            if isinstance(value, (bool, float)) or not -(2 ** (WIDTHS[kind] - 1)) <= int(text) < 2 ** (WIDTHS[kind] - 1):
+                raise ValueError
+        elif kind in ("float", "double") or kind.startswith("decimal"):
+            if isinstance(value, bool):
+                raise ValueError
+            float(text)
+        elif kind == "boolean" and text.lower() not in ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0"):
+            raise ValueError
+    except ValueError as x:
+        raise BundleError("predicate", f"{value!r} is no {declared}") from x
+    return F.lit(value).cast(kind)
 
 
 def condition(column: str, value, declared: str):

@@ -51,7 +51,7 @@ def write_csv(tables: Iterable[Planned], out: str, notices: Sink = lambda n: Non
         with Path(out, f"{t.name}.csv").open("w", newline="") as f:
             w = csv.writer(f)
             w.writerow(t.frame.columns)
-            for row in t.frame.toLocalIterator(prefetchPartitions=True):
+            for row in t.sorted().toLocalIterator(prefetchPartitions=True):
                 w.writerow([text(v) for v in row])
 
 
@@ -67,7 +67,7 @@ def _loaded(con, frame: DataFrame, run) -> None:
     frame.write.parquet(place)
     local = urlparse(place)
     if local.scheme in ("", "file"):
-        run(f"read_parquet('{unquote(local.path)}/*.parquet')")
+        run(f"(SELECT * EXCLUDE (filename, file_row_number) FROM read_parquet('{unquote(local.path)}/*.parquet', filename = true, file_row_number = true) ORDER BY filename, file_row_number)")
         return
     rows = frame.sparkSession.read.schema(frame.schema).parquet(place).toLocalIterator(prefetchPartitions=True)
     kinds = to_arrow_schema(frame.schema)
@@ -101,7 +101,7 @@ def put_table(con, table: Planned) -> None:
         done = True
         con.execute(f"INSERT INTO {quoted(table.name)} SELECT * FROM {source}")
 
-    _loaded(con, table.frame, run)
+    _loaded(con, table.sorted(), run)
 
 
 def write_duckdb(tables: Iterable[Planned], path: str) -> None:
