@@ -161,6 +161,26 @@ def test_mix(spark):
         assert uses.count() == 0 and report.where("tokens_used > 0").count() == 0
 
 
+def test_many_membership_patterns(spark, monkeypatch):
+    """Beyond the patterns that are routed as they are no document is left out, and no cap is broken."""
+    rng = random.Random(8)
+    names = ["a", "b", "c", "d"]
+    docs = [(i, rng.randrange(1, 20), rng.sample(names, rng.randrange(1, 5))) for i in range(400)]
+    data = spark.createDataFrame(docs, "doc_id long, n_tokens long, sources array<string>")
+    goal = spark.createDataFrame([(s, 0.25, 2) for s in names], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    routed = []
+    route = mixing.route
+    monkeypatch.setattr(mixing, "route", lambda sizes, quotas, repeats: (routed.append(sizes), route(sizes, quotas, repeats))[1])
+    uses, report = mixing.mix(data, goal, total=2 * sum(n for _, n, _ in docs))
+    assert sum(routed[0].values()) == sum(n for _, n, _ in docs) and len(routed[0]) <= 7
+    own = {i: set(s) for i, _, s in docs}
+    rows = uses.collect()
+    assert all(r["source"] in own[r["doc_id"]] and 1 <= r["uses"] <= 2 for r in rows) and {r["doc_id"] for r in rows} == set(own)
+    offered = {r["source"]: r["tokens_available"] for r in report.collect()}
+    assert offered == {s: sum(n for _, n, own_ in docs if s in own_) for s in names}
+
+
 TALK = ["The lid keeps its shape and I use it almost every day in the small kitchen.", "Delivery took nine days, which was fine, although nobody answered my letters.", "My brother laughed when the strap came loose within a week of careful use.", "It weighs about two kilos, so carrying it up the stairs is no trouble at all."]
 
 

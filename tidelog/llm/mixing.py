@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Membership patterns that may reach the driver; n sources have at most 2^n.
+#: Membership patterns that reach the driver as they are; the documents of smaller ones are routed as members of one of their sources.
 MOST_PATTERNS = 4096
 
 
@@ -83,8 +83,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     away.
 
     Documents are aggregated by membership pattern; patterns and sources make
-    a small min-cost flow, solved on the driver (at most 2^sources patterns,
-    checked). A pattern that gives a source f tokens is used f // size times
+    a small min-cost flow, solved on the driver. Of more than MOST_PATTERNS
+    patterns the largest are kept; a document of another one takes part as a
+    member of that source of its own which has least to offer for its share,
+    so none is left out, only the choice of where it goes is narrower. A pattern that gives a source f tokens is used f // size times
     whole, and for the rest in a seeded order of its documents up to the last
     that fits. That prefix is found with a histogram over the order's hash and
     a sort within one of its 65,536 bins, so no source is ever gathered in one
@@ -98,10 +100,16 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     whole = sum(shares.values()) or 1.0
     listed = F.array(*map(F.lit, sorted(goal))) if goal else F.array().cast("array<string>")
     docs = documents.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.array_sort(F.array_distinct(F.array_intersect("sources", listed))).alias("pattern"))
-    docs = docs.where(F.size("pattern") > 0)
-    found = docs.groupBy("pattern").agg(F.sum("n_tokens").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    docs = offers = docs.where(F.size("pattern") > 0)
+    by_pattern = lambda: docs.groupBy("pattern").agg(F.sum("n_tokens").alias("size"))
+    found = by_pattern().orderBy(F.desc("size"), "pattern").limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+        held = {r["source"]: r["size"] for r in docs.select(F.explode("pattern").alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("size")).collect()}
+        needy = sorted(held, key=lambda s: (held[s] / shares[s] if shares[s] and repeats[s] else float("inf"), s))
+        kept = spark.createDataFrame([(r["pattern"], True) for r in found[:MOST_PATTERNS]], "pattern array<string>, _kept boolean")
+        one = F.filter(F.array(*map(F.lit, needy)), lambda s: F.array_contains("pattern", s))[0]
+        docs = docs.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.col("_kept"), F.col("pattern")).otherwise(F.array(one))).drop("_kept")
+        found = by_pattern().collect()  # at most one more per source
     sizes = {tuple(r["pattern"]): r["size"] for r in found}
     total = sum(sizes.values()) if total is None else total
     quotas = {s: int(total * shares[s] / whole) for s in goal}
@@ -124,7 +132,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     edge = edge.withColumn("_in", F.col("_cut.before") + F.sum("n_tokens").over(along) <= F.col("rest")).drop("_edge")
     uses = below.unionByName(edge).withColumn("uses", F.col("passes") + F.col("_in").cast("long")).where("uses > 0").select("doc_id", "source", "uses", "n_tokens")
 
-    offered = docs.select(F.explode("pattern").alias("source"), "n_tokens").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens_available"))
+    offered = offers.select(F.explode("pattern").alias("source"), "n_tokens").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens_available"))
     taken = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"))
     goals = spark.createDataFrame([(s, shares[s] / whole, repeats[s], quotas[s]) for s in sorted(goal)], "source string, target_share double, max_repeats int, quota long")
     report = goals.join(offered, "source", "left").join(taken, "source", "left").na.fill(0)
